@@ -117,11 +117,12 @@ def _written_out(n: _Names) -> Column:
         shift < 0, F.right(F.lpad(digits, F.greatest(F.length(digits), -shift), "0"), -shift)
     ).otherwise(F.lit(""))
     whole = F.ltrim(left, F.lit("0"))
-    return F.concat(
+    shown = F.concat(
         F.when(n.col("negative") & (n.col("significant") != ""), "-").otherwise(""),
         F.when(whole == "", "0").otherwise(whole),
         F.when(right != "", F.concat(F.lit("."), right)).otherwise(""),
     )
+    return F.when(shift.isNotNull(), shown)
 
 
 def _shift(n: _Names, fits: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -64,8 +63,9 @@ def arranged(df: DataFrame, layout: Layout) -> DataFrame:
     """
     keys = [F.col(f"`{c}`") for c in layout.partition_columns]
     if layout.shard_by:
-        keys.append(shard_of(F.col(f"`{layout.shard_by}`"), layout.shards))
-    return df.hint("rebalance", *keys) if keys else df
+        df = df.withColumn("_shard", shard_of(F.col(f"`{layout.shard_by}`"), layout.shards))
+        keys.append(F.col("_shard"))
+    return df.hint("rebalance", *keys).drop("_shard") if keys else df
 
 
 def _writer(df: DataFrame, layout: Layout):
@@ -87,26 +87,26 @@ def drop_tables(spark: SparkSession, names: list[str]) -> None:
 def load_table(df: DataFrame, name: str, layout: Layout = Layout()) -> DataFrame:
     """Write a new table and return it.
 
-    An existing target is refused before anything is written.  Rows go to a
-    staging table, which takes the target's name only when it is complete; if
-    anything fails the staging table is dropped.
+    An existing target is refused before anything is written.  Spark puts the
+    table into the catalog only after all of its files are committed; if a
+    later step fails, what this call registered is dropped again.
     """
     spark = df.sparkSession
     if existing_tables(spark, [name]):
         raise ExistingTableError(f"target table already exists: {name}")
-    staging = f"{name}_staging_{uuid.uuid4().hex[:8]}"
     rows = arranged(layout.derived(df), layout)
     if layout.sort_by and not layout.shard_by:
         rows = rows.sortWithinPartitions(*layout.partition_columns, *layout.sort_by)
     try:
-        _writer(rows, layout).saveAsTable(staging)
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+        _writer(rows, layout).saveAsTable(name)
     except Exception as problem:
+        if "ALREADY_EXISTS" in str(problem):  # someone else created it meanwhile
+            raise ExistingTableError(f"target table already exists: {name}") from problem
         try:
-            drop_tables(spark, [staging])
+            drop_tables(spark, [name])
         except Exception as second:
             raise CleanupError(
-                f"loading {name} failed ({problem}), and dropping {staging} failed too ({second}); "
+                f"loading {name} failed ({problem}), and dropping it failed too ({second}); "
                 "remove it before the next load"
             ) from problem
         raise LoadError(f"loading {name} failed, nothing was created: {problem}") from problem
