@@ -166,6 +166,11 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ``max_integer_digits`` tells whether longer ones exist, and
     :func:`exact_integer_bounds` gives those exactly.
     """
+    return fold(cells(df, columns))
+
+
+def fold(tall: DataFrame) -> DataFrame:
+    """:func:`profile` of a table of ``(column_name, value)`` cells."""
     col = F.col
     value, dec = col("unusual"), col("dec")
     kind, detail = col("kind"), col("detail")
@@ -190,7 +195,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     def as_whole(name: str) -> Column:
         return col(name).cast("decimal(38,0)")
 
-    return _unusual_marks(_tallied(cells(df, columns))).groupBy("column_name").agg(
+    return _unusual_marks(_tallied(tall)).groupBy("column_name").agg(
         some(kind == EMPTY, "has_empty"),
         some(kind == MARKER, "has_na_marker"),
         F.coalesce(F.sum(F.when(kind >= TEXT, col("cells"))), F.lit(0).cast("bigint")).alias(
