@@ -1,12 +1,11 @@
 """Strict conversion of text to typed values, as Column expressions.
 
-Every conversion gives a value and an error.  The error is null for a good
-cell; the value is null for a bad one.  Nothing is ever rounded, truncated to
-fit, or read as something else than its text says.
+A conversion gives a value, or null for a cell it refuses; the reason of a
+refusal is worked out only for refused cells.  Nothing is ever rounded,
+truncated to fit, or read as something else than its text says.
 
-A conversion is a short list of steps.  Each step names the columns it adds
-and may use those of the steps before, so an intermediate result is computed
-once; all columns of a table share one projection per step.
+Every rule has a common spelling in front that one pattern settles; the full
+rule behind it is evaluated only for the other spellings.
 """
 
 from __future__ import annotations
@@ -19,9 +18,7 @@ from truecolumn.plans.decide import DATE32_MAX, DATE32_MIN, DATE_MAX, DATE_MIN
 from truecolumn.plans.type_text import LogicalType
 
 Step = dict[str, Column]
-
-# A common spelling that needs no further analysis.
-_SHORT_INTEGER = r"^-?[0-9]{1,18}\z"
+_DECIMAL_38 = "decimal(38,0)"
 
 
 def prepared(text: Column, kind: LogicalType) -> Column:
@@ -38,78 +35,97 @@ def prepared(text: Column, kind: LogicalType) -> Column:
     return F.when(~missing, stripped)
 
 
-def _exact(number: int) -> Column:
-    return F.lit(str(number)).cast("decimal(38,0)")
-
-
 def _bounds(kind: LogicalType) -> tuple[int, int]:
     if kind.signed:
         return -(2 ** (kind.bits - 1)), 2 ** (kind.bits - 1) - 1
     return 0, 2**kind.bits - 1
 
 
-class _Names:
-    """Names of the helper columns of one converted column."""
+def _exact(number: int) -> Column:
+    return F.lit(str(number)).cast(_DECIMAL_38)
 
-    def __init__(self, prefix: str):
-        self.prefix = prefix
 
-    def __call__(self, part: str) -> str:
-        return f"{self.prefix}_{part}"
+def _trailing_zeros(digits: Column) -> Column:
+    return F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
 
-    def col(self, part: str) -> Column:
-        return F.col(self(part))
 
+def _is_whole(parts: dict[str, Column]) -> Column:
+    """``1.0`` and ``1e3`` are whole, ``1.7`` is not."""
+    digits = parts["significant"]
+    return (digits == "") | (parts["exponent"] + _trailing_zeros(digits) >= 0)
 
-def _number_parts(n: _Names) -> Step:
-    parts = R.decimal_parts(n.col("dec"))
-    return {n(p): parts[p] for p in ("negative", "digits", "significant", "exponent")}
 
+def _integer(cell: Column, kind: LogicalType) -> Column:
+    low, high = _bounds(kind)
+    # Eighteen digits always fit a long, so this cast cannot fail.
+    short = cell.rlike(r"^-?[0-9]{1,18}\z" if kind.signed else r"^[0-9]{1,18}\z")
+    number = cell.try_cast("bigint")
+    if kind.bits < 64:
+        number = F.when(number.between(low, high), number)
+    whole = cell.rlike(R.DECIMAL_PATTERN) & _is_whole(R.decimal_parts(cell))
+    other = F.when(whole, cell.try_cast(_DECIMAL_38))
+    bounded = F.when(other.between(_exact(low), _exact(high)), other)
+    return F.when(short, number.cast(kind.storage)).otherwise(bounded.cast(kind.storage))
+
+
+def _fits(parts: dict[str, Column], precision: int, scale: int) -> Column:
+    """The number has at most this many digits on either side of the point."""
+    digits, exponent = parts["significant"], parts["exponent"]
+    size = F.greatest(F.length(digits) + exponent, F.lit(0))
+    places = F.greatest(-(exponent + _trailing_zeros(digits)), F.lit(0))
+    return (digits == "") | ((size <= precision - scale) & (places <= scale))
 
-def _trailing_zeros(n: _Names) -> Column:
-    digits = n.col("significant")
-    return F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
 
+def _decimal(cell: Column, kind: LogicalType) -> Column:
+    # Plain numbers with few enough digits on either side settle at once.
+    whole = max(kind.precision - kind.scale, 1)
+    places = rf"(\.[0-9]{{1,{kind.scale}}})?" if kind.scale else ""
+    plain = rf"^-?[0-9]{{1,{whole}}}{places}\z"
+    joined = F.replace(cell, F.lit("_"), F.lit(""))
+    fits = joined.rlike(R.DECIMAL_PATTERN) & _fits(
+        R.decimal_parts(joined), kind.precision, kind.scale
+    )
+    return F.when(cell.rlike(plain), cell).when(fits, joined).try_cast(kind.storage)
 
-def _is_whole(n: _Names) -> Column:
-    """``1.0`` and ``1e3`` are whole, ``1.7`` is not."""
-    return (n.col("significant") == "") | (n.col("exponent") + _trailing_zeros(n) >= 0)
 
+def _float(cell: Column, kind: LogicalType) -> Column:
+    readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
+    # Adding zero turns -0.0 into 0.0.
+    number = cell.try_cast("double") + F.lit(0.0)
+    may_overflow = R.has_exponent(cell) | (F.length(cell) > 300)
+    return F.when(readable, F.when(~may_overflow | (F.abs(number) < float("inf")), number))
 
-def _integer(n: _Names, kind: LogicalType) -> list[Step]:
-    cell = n.col("cell")
-    low, high = _bounds(kind)
-    other = F.when(_is_whole(n), n.col("dec").try_cast("decimal(38,0)"))
-    number = F.when(n.col("dec").isNull() & n.col("short"), cell.try_cast("decimal(38,0)")).otherwise(other)
-    return [
-        {n("short"): cell.rlike(_SHORT_INTEGER)},
-        # Underscores are refused: they may separate digits or belong to a name.
-        {
-            n("dec"): F.when(
-                ~n.col("short") & ~F.contains(cell, F.lit("_")), R.decimal_text_of(cell)
-            )
-        },
-        _number_parts(n),
-        {n("number"): number},
-        {
-            n("value"): F.when(
-                n.col("number").between(_exact(low), _exact(high)), n.col("number")
-            ).cast(kind.storage),
-            n("reason"): F.lit(f"does not fit {kind.base} or is not a whole number"),
-        },
-    ]
 
+def _date_bounds(kind: LogicalType) -> tuple[str, str]:
+    return (DATE_MIN, DATE_MAX) if kind.base == "Date" else (DATE32_MIN, DATE32_MAX)
 
-def _fits(n: _Names, precision: int, scale: int) -> Column:
-    """The number has at most this many digits on either side of the point."""
-    size = F.greatest(F.length(n.col("significant")) + n.col("exponent"), F.lit(0))
-    places = F.greatest(-(n.col("exponent") + _trailing_zeros(n)), F.lit(0))
-    return (n.col("significant") == "") | ((size <= precision - scale) & (places <= scale))
+
+def _date(cell: Column, kind: LogicalType) -> Column:
+    low, high = _date_bounds(kind)
+    dashed = (F.length(cell) == 10) & cell.rlike(R.DATE_PATTERN)
+    day = R.date_value(cell)
+    inside = F.when(day.between(F.lit(low).cast("date"), F.lit(high).cast("date")), day)
+    # Dashed dates order like their text.
+    return F.when(dashed, F.when(cell.between(low, high), cell.try_cast("date"))).otherwise(inside)
+
+
+def _datetime(cell: Column, kind: LogicalType) -> Column:
+    plain = (cell >= "0001") & cell.rlike(R.PLAIN_TIMESTAMP_PATTERN)
+    other = F.when(~R.has_offset(cell), F.date_trunc("second", R.timestamp_value(cell)))
+    # The first nineteen characters are the date-time without its fraction.
+    return F.when(plain, F.substring(cell, 1, 19).try_cast("timestamp_ntz")).otherwise(
+        other.cast("timestamp_ntz")
+    )
+
+
+def _bool(cell: Column, kind: LogicalType) -> Column:
+    word = F.lower(cell)
+    return F.when(word.isin(*R.TRUE_WORDS), True).when(word.isin(*R.FALSE_WORDS), False)
 
 
-def _written_out(n: _Names) -> Column:
-    """The number without exponent, plus sign or leading zeros."""
-    digits, shift = n.col("digits"), n.col("shift")
+def _written_out(parts: dict[str, Column], shift: Column) -> Column:
+    """``digits * 10**shift`` without exponent, plus sign or leading zeros."""
+    digits = parts["digits"]
     left = F.when(shift >= 0, F.concat(digits, F.repeat(F.lit("0"), shift))).otherwise(
         F.substring(digits, F.lit(1), F.greatest(F.length(digits) + shift, F.lit(0)))
     )
@@ -118,171 +134,122 @@ def _written_out(n: _Names) -> Column:
     ).otherwise(F.lit(""))
     whole = F.ltrim(left, F.lit("0"))
     shown = F.concat(
-        F.when(n.col("negative") & (n.col("significant") != ""), "-").otherwise(""),
+        F.when(parts["negative"] & (parts["significant"] != ""), "-").otherwise(""),
         F.when(whole == "", "0").otherwise(whole),
         F.when(right != "", F.concat(F.lit("."), right)).otherwise(""),
     )
     return F.when(shift.isNotNull(), shown)
 
 
-def _shift(n: _Names, fits: Column) -> Column:
-    """The exponent of a fitting number; zero may be written with any exponent."""
-    exponent = n.col("exponent").try_cast("int")
-    zero = n.col("significant") == ""
-    return F.when(zero, F.greatest(F.lit(-76), F.least(exponent, F.lit(0)))).when(fits, exponent)
-
-
-def _wide_decimal(n: _Names, kind: LogicalType) -> list[Step]:
-    return [
-        {n("dec"): R.decimal_text_of(n.col("cell"))},
-        _number_parts(n),
-        {n("shift"): _shift(n, _fits(n, kind.precision, kind.scale))},
-        {n("value"): _written_out(n), n("reason"): _inexact(kind)},
-    ]
-
-
-def _inexact(kind: LogicalType) -> Column:
-    return F.lit(f"is not a number that {kind.base} holds exactly")
-
-
-def _decimal(n: _Names, kind: LogicalType) -> list[Step]:
-    if kind.precision > 38:
-        return _wide_decimal(n, kind)
-    cell = n.col("cell")
-    # Plain numbers with few enough digits on either side settle at once.
-    whole = max(kind.precision - kind.scale, 1)
-    places = rf"(\.[0-9]{{1,{kind.scale}}})?" if kind.scale else ""
-    plain = rf"^-?[0-9]{{1,{whole}}}{places}\z"
-    fitting = F.when(n.col("short"), cell).when(_fits(n, kind.precision, kind.scale), n.col("dec"))
-    return [
-        {n("short"): cell.rlike(plain)},
-        {n("dec"): F.when(~n.col("short"), R.decimal_text_of(cell))},
-        _number_parts(n),
-        {n("value"): fitting.try_cast(kind.storage), n("reason"): _inexact(kind)},
-    ]
-
-
-def _wide_integer(n: _Names, kind: LogicalType) -> list[Step]:
-    """Int128 and Int256: exact text, range-checked by length, then digit by digit."""
-    low, high = _bounds(kind)
-    size = F.length(n.col("significant")) + n.col("exponent")
-    digits = F.ltrim(n.col("shown"), F.lit("-"))
-
-    def at_most(limit: int) -> Column:
-        longest = len(str(limit))
-        return (F.length(digits) < longest) | (
-            (F.length(digits) == longest) & (digits <= str(limit))
-        )
-
-    inside = F.when(n.col("shown").startswith("-"), at_most(-low) & F.lit(low < 0)).otherwise(
-        at_most(high)
+def is_wide(kind: LogicalType) -> bool:
+    """Numbers no Spark type holds; they stay validated text."""
+    return (kind.kind == "decimal" and kind.precision > 38) or (
+        kind.kind == "integer" and kind.bits > 64
     )
-    return [
-        {n("dec"): F.when(~F.contains(n.col("cell"), F.lit("_")), R.decimal_text_of(n.col("cell")))},
-        _number_parts(n),
-        {n("shift"): _shift(n, _is_whole(n) & (size <= len(str(high))))},
-        {n("shown"): F.substring_index(_written_out(n), ".", 1)},
-        {
-            n("value"): F.when(inside, n.col("shown")),
-            n("reason"): F.lit(f"does not fit {kind.base} or is not a whole number"),
-        },
-    ]
-
-
-def _float(n: _Names, kind: LogicalType) -> list[Step]:
-    cell = n.col("cell")
-    readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
-    number = n.col("number")
-    return [
-        {n("number"): F.when(readable, cell.try_cast("double"))},
-        {
-            # Adding zero turns -0.0 into 0.0.
-            n("value"): F.when(F.abs(number) < float("inf"), number + F.lit(0.0)),
-            n("reason"): F.when(
-                number.isNotNull(), "does not fit Float64 and would become infinity"
-            ).otherwise("is not a finite number"),
-        },
-    ]
 
 
-def _date(n: _Names, kind: LogicalType) -> list[Step]:
-    low, high = (DATE_MIN, DATE_MAX) if kind.base == "Date" else (DATE32_MIN, DATE32_MAX)
-    day = n.col("day")
-    return [
-        {n("day"): R.date_value(n.col("cell"))},
-        {
-            n("value"): F.when(
-                day.between(F.lit(low).cast("date"), F.lit(high).cast("date")), day
-            ),
-            n("reason"): F.when(
-                day.isNotNull(), f"is outside {kind.base} ({low}..{high})"
-            ).otherwise(f"is not a date for {kind.base}"),
-        },
-    ]
+def wide_steps(prefix: str, kind: LogicalType) -> list[Step]:
+    """Steps from ``<prefix>_cell`` to ``<prefix>_wide``, one projection each.
 
+    The digits are checked and written out as text.  Each step uses columns of
+    the one before, so the expressions stay small.
+    """
+    cell = F.col(f"{prefix}_cell")
+    names = ("negative", "digits", "significant", "exponent")
+    parts = {n: F.col(f"{prefix}_{n}") for n in names}
+    shift, shown = F.col(f"{prefix}_shift"), F.col(f"{prefix}_shown")
+    found = R.decimal_parts(F.col(f"{prefix}_text"))
+    size = F.length(parts["significant"]) + parts["exponent"]
+    if kind.kind == "integer":
+        low, high = _bounds(kind)
+        text = F.when(~F.contains(cell, F.lit("_")), R.decimal_text_of(cell))
+        fits = _is_whole(parts) & (size <= len(str(high)))
+        digits = F.ltrim(shown, F.lit("-"))
+
+        def at_most(limit: int) -> Column:
+            longest = len(str(limit))
+            return (F.length(digits) < longest) | (
+                (F.length(digits) == longest) & (digits <= str(limit))
+            )
 
-def _datetime(n: _Names, kind: LogicalType) -> list[Step]:
-    moment = n.col("moment")
+        below = at_most(-low) if low else F.lit(False)
+        inside = F.when(shown.startswith("-"), below).otherwise(at_most(high))
+        written, result = F.substring_index(_written_out(parts, shift), ".", 1), F.when(inside, shown)
+    else:
+        text = R.decimal_text_of(cell)
+        fits = _fits(parts, kind.precision, kind.scale)
+        written, result = _written_out(parts, shift), shown
+    # Zero may be written with any exponent; other numbers that fit have a small one.
+    zero_shift = F.greatest(F.lit(-76), F.least(parts["exponent"], F.lit(0))).cast("int")
+    moved = F.when(parts["significant"] == "", zero_shift).when(
+        fits, parts["exponent"].try_cast("int")
+    )
     return [
-        {n("moment"): R.timestamp_value(n.col("cell")), n("shifted"): R.has_offset(n.col("cell"))},
-        {
-            n("value"): F.when(
-                ~n.col("shifted"), F.date_trunc("second", moment).cast("timestamp_ntz")
-            ),
-            n("reason"): F.when(
-                moment.isNotNull(), "carries a zone offset, which DateTime cannot hold"
-            ).otherwise("is not a date-time"),
-        },
+        {f"{prefix}_text": text},
+        {f"{prefix}_{n}": found[n] for n in names},
+        {f"{prefix}_shift": moved},
+        {f"{prefix}_shown": written},
+        {f"{prefix}_wide": result},
     ]
 
 
-def _bool(n: _Names, kind: LogicalType) -> list[Step]:
-    word = F.lower(n.col("cell"))
-    answer = F.when(word.isin(*R.TRUE_WORDS), True).when(word.isin(*R.FALSE_WORDS), False)
-    return [{n("value"): answer, n("reason"): F.lit("is not a boolean")}]
-
-
-def _as_is(n: _Names, kind: LogicalType) -> list[Step]:
-    return [{n("value"): n.col("cell"), n("reason"): F.lit(None).cast("string")}]
-
-
-def steps(prefix: str, kind: LogicalType) -> list[Step]:
-    """Steps from ``<prefix>_cell`` (see :func:`prepared`) to ``<prefix>_value``
-    and ``<prefix>_error``."""
-    n = _Names(prefix)
+def value_of(prefix: str, kind: LogicalType) -> Column:
+    """Typed value of ``<prefix>_cell``; null where it is missing or refused."""
+    cell = F.col(f"{prefix}_cell")
+    if is_wide(kind):
+        return F.col(f"{prefix}_wide")
+    rules = {
+        "integer": _integer,
+        "decimal": _decimal,
+        "float": _float,
+        "date": _date,
+        "datetime": _datetime,
+        "bool": _bool,
+    }
+    rule = rules.get(kind.kind)
+    return rule(cell, kind) if rule else cell
+
+
+def reason_of(prefix: str, kind: LogicalType) -> Column:
+    """Why ``<prefix>_cell`` is refused, given that it is."""
+    cell = F.col(f"{prefix}_cell")
+    reason = F.lit("is refused")
     if kind.kind == "integer":
-        chosen = _integer if kind.bits <= 64 else _wide_integer
-    else:
-        chosen = {
-            "decimal": _decimal,
-            "float": _float,
-            "date": _date,
-            "datetime": _datetime,
-            "bool": _bool,
-        }.get(kind.kind, _as_is)
-    absent = n.col("cell").isNull()
-    if kind.nullable:
-        when_absent = F.lit(None).cast("string")
-    elif kind.kind == "string":
-        return [*chosen(n, kind), {n("error"): F.lit(None).cast("string")}]
-    else:
-        when_absent = F.lit(f"is empty, and {kind.base} is not nullable")
-    failed = F.when(n.col("value").isNull(), n.col("reason"))
-    return [*chosen(n, kind), {n("error"): F.when(absent, when_absent).otherwise(failed)}]
-
-
-def converted_columns(df: DataFrame, kinds: dict[str, LogicalType]) -> DataFrame:
-    """Run the steps of several columns together, one projection per step.
-
-    ``kinds`` maps prefixes to types; ``df`` holds ``<prefix>_cell`` columns.
-    """
-    plans = [steps(prefix, kind) for prefix, kind in kinds.items()]
-    for depth in range(max(map(len, plans), default=0)):
-        added = {}
-        for plan in plans:
-            if depth < len(plan):
-                added.update(plan[depth])
-        df = df.withColumns(added)
+        reason = F.lit(f"does not fit {kind.base} or is not a whole number")
+    elif kind.kind == "decimal":
+        reason = F.lit(f"is not a number that {kind.base} holds exactly")
+    elif kind.kind == "float":
+        readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
+        reason = F.when(readable, "does not fit Float64 and would become infinity").otherwise(
+            "is not a finite number"
+        )
+    elif kind.kind == "date":
+        low, high = _date_bounds(kind)
+        reason = F.when(
+            R.date_value(cell).isNotNull(), f"is outside {kind.base} ({low}..{high})"
+        ).otherwise(f"is not a date for {kind.base}")
+    elif kind.kind == "datetime":
+        reason = F.when(
+            R.has_offset(cell), "carries a zone offset, which DateTime cannot hold"
+        ).otherwise("is not a date-time")
+    elif kind.kind == "bool":
+        reason = F.lit("is not a boolean")
+    return F.when(cell.isNull(), f"is empty, and {kind.base} is not nullable").otherwise(reason)
+
+
+def is_refused(prefix: str, kind: LogicalType) -> Column | None:
+    """Whether the cell is refused; None for types that take every cell."""
+    cell, value = F.col(f"{prefix}_cell"), F.col(f"{prefix}_value")
+    if kind.kind == "string" or (kind.kind == "other" and kind.nullable):
+        return None
+    return (cell.isNotNull() & value.isNull()) if kind.nullable else value.isNull()
+
+
+def with_wide_numbers(df: DataFrame, kinds: dict[str, LogicalType]) -> DataFrame:
+    """Run the steps of all wide columns together, one projection per step."""
+    plans = [wide_steps(prefix, kind) for prefix, kind in kinds.items() if is_wide(kind)]
+    for step in zip(*plans):
+        df = df.withColumns({name: column for part in step for name, column in part.items()})
     return df
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truecolumn.errors import SchemaError
-from truecolumn.functions.convert import converted_columns, prepared
+from truecolumn.functions import convert as X
 from truecolumn.plans.mapping import ColumnMapping, check_mappings, check_sources
 
 ERRORS = "_errors"
@@ -30,23 +33,29 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
         *[_quoted(k) for k in keep],
         *([F.col(BAD_LINE)] if watched else []),
         *[
-            prepared(_quoted(m.source_name), m.logical).alias(f"_{i}_cell")
+            X.prepared(_quoted(m.source_name), m.logical).alias(f"_{i}_cell")
             for i, m in enumerate(chosen)
         ],
     )
-    typed = converted_columns(staged, {f"_{i}": m.logical for i, m in enumerate(chosen)})
+    kinds = {f"_{i}": m.logical for i, m in enumerate(chosen)}
+    typed = X.with_wide_numbers(staged, kinds).select(
+        *[_quoted(c) for c in staged.columns],
+        *[X.value_of(prefix, kind).alias(f"{prefix}_value") for prefix, kind in kinds.items()],
+    )
+    refused = {p: X.is_refused(p, kind) for p, kind in kinds.items()}
     entries = [
         F.when(
-            F.col(f"_{i}_error").isNotNull(),
+            refused[f"_{i}"],
             F.struct(
                 F.lit(m.source_name).alias("source"),
                 F.lit(m.target_name).alias("target"),
                 F.coalesce(F.col(f"_{i}_cell"), F.lit("")).alias("value"),
                 F.lit(m.final_type).alias("type"),
-                F.col(f"_{i}_error").alias("reason"),
+                X.reason_of(f"_{i}", m.logical).alias("reason"),
             ),
         )
         for i, m in enumerate(chosen)
+        if refused[f"_{i}"] is not None
     ]
     if watched:
         entries.append(
@@ -61,18 +70,18 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
                 ),
             )
         )
-    any_error = F.coalesce(*[F.col(f"_{i}_error") for i in range(len(chosen))])
-    failed = any_error.isNotNull()
+    conditions = [c for c in refused.values() if c is not None]
     if watched:
-        failed = failed | F.col(BAD_LINE).isNotNull()
+        conditions.append(F.col(BAD_LINE).isNotNull())
+    failed = reduce(or_, conditions, F.lit(False))
     # A filter on the errors must not be pushed below the steps: it would be
     # rewritten into one expression that repeats every step many times.  An
     # expression that is not deterministic stops that.
     fence = F.monotonically_increasing_id() >= 0
     # Good rows, the common case, share one empty array.
-    errors = F.when(failed & fence, F.array_compact(F.array(*entries))).otherwise(
-        F.array().cast(_ERROR_TYPE)
-    )
+    none = F.array().cast(_ERROR_TYPE)
+    found = F.array_compact(F.array(*entries)) if entries else none
+    errors = F.when(failed & fence, found).otherwise(none)
     values = []
     for i, m in enumerate(chosen):
         value = F.col(f"_{i}_value")
