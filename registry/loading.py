@@ -64,7 +64,7 @@ def csv_select_subset(spark, sf):
 
 def csv_scan_gzip(spark, sf):
     path = _csv_copy(spark, M.messy(spark, sf, *_SCANNED), compression="gzip")
-    return C.read_text_table(spark, path)
+    return C.read_text_table(spark, path, spread_rows=True)
 
 
 def csv_scan_separators(spark, sf):

@@ -13,6 +13,7 @@ from truecolumn.functions import text_rules as R
 from truecolumn.operators import infer as N
 from truecolumn.operators import profile as P
 from truecolumn.plans import decide as D
+from truecolumn.session import spread
 
 _D = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 _K = "CAST(o_orderkey AS STRING)"
@@ -68,7 +69,7 @@ MESSY_SQL = "SELECT " + ",\n       ".join(f"{sql} AS {name}" for name, sql in CO
 
 def messy(spark, sf, *names):
     """The messy table, or some of its columns."""
-    orders = I.table(spark, sf, "orders")
+    orders = spread(I.table(spark, sf, "orders"))
     chosen = names or COLUMNS
     return orders.selectExpr(*[f"{COLUMNS[n]} AS {n}" for n in chosen])
 

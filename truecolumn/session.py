@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Expressions over many columns can generate methods the JVM refuses to
 # compile (beyond 8000 bytes of byte code).  Below this limit Spark falls back
@@ -28,6 +28,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the source has fewer splits than that.
+
+    One gzip file or one Parquet row group is read by a single task, whatever
+    follows.  Sources with enough splits are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -12,6 +12,7 @@ from truecolumn.errors import SchemaError
 from truecolumn.functions import text_rules as R
 from truecolumn.operators.load_plan import BAD_LINE
 from truecolumn.plans.header import trimmed_names
+from truecolumn.session import spread
 
 # What a user may choose from; other choices may be typed in.
 SEPARATORS: tuple[str, ...] = (",", ";", "\t", "|")
@@ -79,13 +80,15 @@ def read_text_table(
     options: ReadOptions = ReadOptions(),
     columns: list[str] | None = None,
     watch_width: bool = False,
+    spread_rows: bool = False,
 ) -> DataFrame:
     """Every cell as raw text, under trimmed header names.
 
     Nothing is typed at the scan: a typed schema would lose ``007``, ``1.50``
     and ``NA``.  ``columns`` are the only ones parsed.  ``watch_width`` adds
     ``_bad_line``, the raw text of lines with more fields than the header
-    (null for good lines); short lines are padded.
+    (null for good lines); short lines are padded.  ``spread_rows`` distributes
+    the rows of files that cannot be split, such as one large gzip file.
     """
     names = header_names(spark, path, options)
     wanted = columns or names
@@ -95,7 +98,8 @@ def read_text_table(
     reader = spark.read.options(**reader_options(options, True))
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted]
     if not watch_width:
-        return reader.schema(T.StructType(fields)).csv(path).select(*cells)
+        lines = reader.schema(T.StructType(fields)).csv(path).select(*cells)
+        return spread(lines) if spread_rows else lines
     fields.append(T.StructField(BAD_LINE, T.StringType()))
     # A pruned parser does not count fields, so the width needs all columns.
     watched = reader.options(columnNameOfCorruptRecord=BAD_LINE, columnPruning=False)
