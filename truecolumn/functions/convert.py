@@ -21,18 +21,32 @@ Step = dict[str, Column]
 _DECIMAL_38 = "decimal(38,0)"
 
 
-def prepared(text: Column, kind: LogicalType) -> Column:
-    """The cell as its conversion reads it: null where there is no value.
+def _literals(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
-    A String cell is kept exactly, and only an empty one counts as missing.
-    Elsewhere the cell is stripped and the marker spellings are missing too.
+
+_STRIPPED = f"""
+coalesce(CASE WHEN {{c}} >= '!' AND {{c}} < '\x7f' AND right({{c}}, 1) >= '!' AND right({{c}}, 1) < '\x7f'
+              THEN {{c}} ELSE btrim({{c}}, '{R.WHITESPACE}') END, '')"""
+_PRESENT = f"""
+CASE WHEN NOT (length({{c}}) <= {max(map(len, R.NA_MARKERS))} AND {{c}} IN ({_literals(R.NA_MARKERS)}))
+     THEN {{c}} END"""
+
+
+def stripped_cell(source: str, kind: LogicalType) -> Column:
+    """A String cell exactly as it is, any other cell stripped.
+
+    Written as SQL text: a table has one of these per column, and each is a
+    single call to the JVM this way.
     """
-    if kind.kind == "string":
-        return F.when(text != "", text)
-    stripped = R.strip(text)
-    longest = max(map(len, R.NA_MARKERS))
-    missing = (F.length(stripped) <= longest) & stripped.isin(*R.NA_MARKERS)
-    return F.when(~missing, stripped)
+    name = "`" + source.replace("`", "``") + "`"
+    return F.expr(name if kind.kind == "string" else _STRIPPED.format(c=name))
+
+
+def present_cell(prefix: str, kind: LogicalType) -> Column:
+    """Null where there is no value: an empty String cell, a marker elsewhere."""
+    name = f"{prefix}_cell"
+    return F.expr(f"nullif({name}, '')" if kind.kind == "string" else _PRESENT.format(c=name))
 
 
 def _bounds(kind: LogicalType) -> tuple[int, int]:

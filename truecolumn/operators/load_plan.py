@@ -29,15 +29,18 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
     chosen = check_mappings(mappings)
     check_sources(chosen, df.columns)
     watched = BAD_LINE in df.columns
-    staged = df.select(
-        *[_quoted(k) for k in keep],
-        *([F.col(BAD_LINE)] if watched else []),
+    kinds = {f"_{i}": m.logical for i, m in enumerate(chosen)}
+    carried = [_quoted(k) for k in keep] + ([F.col(BAD_LINE)] if watched else [])
+    stripped = df.select(
+        *carried,
         *[
-            X.prepared(_quoted(m.source_name), m.logical).alias(f"_{i}_cell")
+            X.stripped_cell(m.source_name, m.logical).alias(f"_{i}_cell")
             for i, m in enumerate(chosen)
         ],
     )
-    kinds = {f"_{i}": m.logical for i, m in enumerate(chosen)}
+    staged = stripped.select(
+        *carried, *[X.present_cell(p, kind).alias(f"{p}_cell") for p, kind in kinds.items()]
+    )
     typed = X.with_wide_numbers(staged, kinds).select(
         *[_quoted(c) for c in staged.columns],
         *[X.value_of(prefix, kind).alias(f"{prefix}_value") for prefix, kind in kinds.items()],
