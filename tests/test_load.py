@@ -3,18 +3,20 @@
 import gzip
 import json
 import random
+import threading
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from truecolumn.errors import ExistingTableError, LoadError, SchemaError
+from truecolumn.errors import ExistingTableError, LoadError, ReadCancelled, SchemaError
 from truecolumn.operators import blocks as B
 from truecolumn.operators import infer as N
 from truecolumn.operators import load_plan as L
 from truecolumn.operators import validate as V
 from truecolumn.plans.mapping import ColumnMapping
+from truecolumn.session import cancellable, stop
 from truecolumn.sinks import json_export, load_runs
 from truecolumn.sinks import tables as S
 from truecolumn.sources import csv_text as C
@@ -265,6 +267,26 @@ def test_load_and_run_record(spark, tmp_path):
         S.load_table(df, "bad name; drop")
 
 
+def test_append_and_policy(spark):
+    df = spark.range(3).selectExpr("id", "cast(id AS string) AS v")
+    S.load_table(df, "appended_to")
+    S.append_rows(df.select("v", "id"), "appended_to")
+    assert spark.table("appended_to").where("v = cast(id AS string)").count() == 6
+    with pytest.raises(SchemaError):
+        S.append_rows(df.select("id"), "appended_to")
+    assert load_runs.sample_rows_for(10) is None
+    assert load_runs.sample_rows_for(60 * 1024 * 1024) == 200_000
+
+
+def test_stopping_a_read(spark):
+    spread_out = F.count_if(F.sha2(F.col("id").cast("string"), 512) > "f")
+    slow = spark.range(0, 2 * 10**8, 1, 8).agg(spread_out)
+    threading.Timer(3.0, lambda: stop(spark, "slow_read")).start()
+    with pytest.raises(ReadCancelled):
+        with cancellable(spark, "slow_read"):
+            slow.collect()
+
+
 def test_hot_partition_is_written_whole(spark, tmp_path):
     df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS part")
     path = S.write_folder(df, str(tmp_path / "hot"), S.Layout(partition_by=["part"], sort_by=("id",)))

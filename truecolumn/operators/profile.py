@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from truecolumn.functions import text_rules as R
 
@@ -306,7 +307,14 @@ def samples(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
     stripped = df.select(*[R.strip(F.col(f"`{c}`")).alias(c) for c in columns])
     reduced = stripped.mapInArrow(_smallest_per_batch, "column_name string, value string")
-    # At most five rows per task and column reach this aggregation.
-    return reduced.groupBy("column_name").agg(
-        F.slice(F.array_sort(F.collect_set("value")), 1, SAMPLES_PER_COLUMN).alias("samples")
+    # Distinct first, then five per column and partition: neither a repeated
+    # value nor the number of tasks makes the last step grow.
+    by_value = Window.partitionBy("column_name").orderBy("value")
+    smallest = (
+        reduced.distinct()
+        .withColumn("place", F.row_number().over(by_value))
+        .where(F.col("place") <= SAMPLES_PER_COLUMN)
+    )
+    return smallest.groupBy("column_name").agg(
+        F.array_sort(F.collect_list("value")).alias("samples")
     )

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from truecolumn.errors import ReadCancelled
+
 # Expressions over many columns can generate methods the JVM refuses to
 # compile (beyond 8000 bytes of byte code).  Below this limit Spark falls back
 # to projections it splits into small methods, which run many times faster
@@ -28,6 +31,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Run actions that another thread may stop with :func:`stop`."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield
+    except Exception as problem:
+        if "cancel" in str(problem).lower():
+            raise ReadCancelled(f"{tag} was stopped") from problem
+        raise
+    finally:
+        context.removeJobTag(tag)
+
+
+def stop(spark: SparkSession, tag: str) -> None:
+    """Cancel what runs inside ``cancellable(spark, tag)``."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, where the source has fewer splits than that.
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from truecolumn.errors import LoadError, SchemaError
-from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines, oversize_rows
+from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines
 
 # How the text may be compressed; "off" leaves it plain.
 COMPRESSION: tuple[str, ...] = ("off", "zstd", "lz4", "gzip")
@@ -23,13 +24,20 @@ def text_codec(compression: str | None) -> str:
 def export_json(
     df: DataFrame, path: str, compression: str | None = "gzip", limit: int = DEFAULT_BLOCK_BYTES
 ) -> str:
-    """Write JSON lines; a row longer than a block is refused beforehand.
+    """Write JSON lines in one pass; a row longer than a block fails the job.
 
-    ``zstd`` and ``lz4`` need the native codecs of the cluster.
+    Spark commits all files or none, so nothing is left behind then.  ``zstd``
+    and ``lz4`` need the native codecs of the cluster.
     """
-    lines = json_lines(df)
-    too_long = oversize_rows(lines, limit).limit(1).count()
-    if too_long:
-        raise LoadError(f"a row is longer than {limit} bytes")
-    lines.write.mode("errorifexists").option("compression", text_codec(compression)).text(path)
+    codec = text_codec(compression)
+    length = F.octet_length("line")
+    message = F.format_string(f"a row of %d bytes is longer than {limit} bytes", length)
+    short_enough = F.when(length <= limit, F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean")
+    )
+    lines = json_lines(df).where(short_enough)
+    try:
+        lines.write.mode("errorifexists").option("compression", codec).text(path)
+    except Exception as problem:
+        raise LoadError(f"exporting to {path} failed: {problem}") from problem
     return path

@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 from truecolumn.errors import TrueColumnError
 from truecolumn.operators import load_plan as L
 from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES
-from truecolumn.operators.validate import require_valid
+from truecolumn.operators.validate import DEFAULT_SAMPLE_ROWS, require_valid
 from truecolumn.plans.mapping import ColumnMapping
 from truecolumn.sinks import tables as S
 
+# Fixed value: sources above this size are validated by a sample.
+SAMPLE_ABOVE_BYTES = 50 * 1024 * 1024
+
 RUN_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("run_id", "target", "source", "outcome", "fate", "error", "spark_version")]
     + [T.StructField(n, T.LongType()) for n in ("rows", "blocks", "src_bytes", "raw_bytes", "wire_bytes", "worker_count")]
@@ -139,6 +142,15 @@ def source_bytes(df: DataFrame) -> int:
     return sizes.agg(F.sum("length").alias("n")).first()["n"] or 0
 
 
+def sample_rows_for(src_bytes: int, batch_rows: int = 100_000) -> int | None:
+    """Leading rows to validate beforehand: all (None) of a small source,
+    otherwise a sample.  For a source of any size the load itself checks every
+    cell again and creates nothing when one is refused."""
+    if src_bytes <= SAMPLE_ABOVE_BYTES:
+        return None
+    return max(DEFAULT_SAMPLE_ROWS, batch_rows)
+
+
 def load(
     text: DataFrame,
     mappings: list[ColumnMapping],
@@ -152,8 +164,9 @@ def load(
     """Validate, convert and load a text table into a new table.
 
     The whole table is validated first unless ``preflight_rows`` asks for the
-    leading rows only or ``preflight`` is off.  Conversion is strict: a bad
-    cell stops the job and the target is not created.
+    leading rows only (see :func:`sample_rows_for`) or ``preflight`` is off.
+    Conversion is strict: a bad cell stops the job and the target is not
+    created, so a full validation pass is a courtesy, not a need.
     """
     spark = text.sparkSession
     run = LoadRun(target=target, src_bytes=source_bytes(text))
