@@ -22,9 +22,14 @@ from pyspark.sql import functions as F  # noqa: E402
 from registry import QUERIES, inputs  # noqa: E402
 from registry.loading import _csv_copy  # noqa: E402
 from truecolumn.operators import infer, load_plan, profile, validate  # noqa: E402
-from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines, pack_blocks, block_totals  # noqa: E402
+from truecolumn.operators.blocks import (  # noqa: E402
+    DEFAULT_BLOCK_BYTES,
+    block_totals,
+    json_lines,
+    pack_blocks,
+)
 from truecolumn.plans.mapping import ColumnMapping  # noqa: E402
-from truecolumn.session import prepare, scratch_path  # noqa: E402
+from truecolumn.session import prepare, scratch_path, spread  # noqa: E402
 from truecolumn.sinks import tables  # noqa: E402
 from truecolumn.sources import csv_text  # noqa: E402
 
@@ -64,7 +69,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
 
-    items = inputs.table(spark, folder, "lineitem")
+    items = spread(inputs.table(spark, folder, "lineitem"))
     rows = items.count()
     # The file a user would load: all columns as delimited text.
     text_path = _csv_copy(spark, items.repartition(int(cpus)))
