@@ -69,7 +69,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
 
-    items = spread(inputs.table(spark, folder, "lineitem"))
+    items = inputs.table(spark, folder, "lineitem")
     rows = items.count()
     # The file a user would load: all columns as delimited text.
     text_path = _csv_copy(spark, items.repartition(int(cpus)))
@@ -98,7 +98,7 @@ def main() -> None:
         "csv_validate": lambda: validate.validate(text, mappings, DEFAULT_BLOCK_BYTES).collect(),
         "json_one_column": lambda: run(json_lines(one_column)),
         "json_all_columns": lambda: run(json_lines(typed)),
-        "pack_partitions": lambda: block_totals(pack_blocks(json_lines(items))).collect(),
+        "pack_partitions": lambda: block_totals(pack_blocks(json_lines(spread(items)))).collect(),
         "load_parquet": lambda: tables.write_folder(typed, scratch_path(spark, "bench")),
     }
     seconds = {name: timed(action) for name, action in loading.items()}
