@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from truecolumn.llm.arc import converted_pages
+from truecolumn.llm.bpe import token_digests
 from truecolumn.llm.common import table
+from truecolumn.llm.language import language_of_documents
 from truecolumn.llm.near_dup import near_duplicates
+from truecolumn.llm.quality import quality_of_documents
+from truecolumn.llm.secret_scan import secret_digests
+from truecolumn.llm.substrings import removed_words
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return converted_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_words(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dup": op1_minhash_near_dup,
+    "op2_arc_to_warc": op2_arc_to_warc,
+    "op3_language_id": op3_language_id,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {}
