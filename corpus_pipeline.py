@@ -1,25 +1,75 @@
-"""A corpus pipeline over ``documents``: every stage's output is written and read again."""
+"""A corpus pipeline over ``documents``: every stage's output is written and read again.
+
+Stages, in order: quality rules, near-duplicates, benchmark decontamination,
+secret scan, byte-level BPE.  Each works on all rows that its predecessor kept,
+and learns or counts on these rows.  Rows with null or repeated keys, null texts
+and further columns pass like others; the stages return the columns of
+``documents``, the last one token ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from truecolumn.llm.bpe import tokenize
 from truecolumn.llm.common import stored, table
+from truecolumn.llm.decontaminate import without_contaminated
 from truecolumn.llm.near_dup import near_duplicates
+from truecolumn.llm.quality import keep_good
+from truecolumn.llm.secret_scan import redact_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned list rejects go."""
+    return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8) stays."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, 0.8) stays: the one of the smallest key.
+
+    Of rows with the same key all stay; rows without a key are not compared and stay.
+    """
+    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; each secret in its text is replaced by a mark."""
+    return redact_documents(docs.select(*COLUMNS))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with a check that they decode to its text."""
+    plain = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    coded = tokenize(plain, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_text=False)
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: Learned rules, similarity links and byte-pair encoding are beyond SQL; tests compare with brute force.

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from truecolumn.llm.arc import converted_pages
 from truecolumn.llm.bpe import token_digests
 from truecolumn.llm.common import table
+from truecolumn.llm.decontaminate import contaminated
 from truecolumn.llm.language import language_of_documents
 from truecolumn.llm.near_dup import near_duplicates
+from truecolumn.llm.packing import pack, token_ids
 from truecolumn.llm.quality import quality_of_documents
 from truecolumn.llm.secret_scan import secret_digests
 from truecolumn.llm.substrings import removed_words
+from truecolumn.llm.toxicity import score_documents
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -44,14 +51,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack(token_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dup": op1_minhash_near_dup,
     "op2_arc_to_warc": op2_arc_to_warc,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packed_ids": op9_packed_ids,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}

@@ -23,6 +23,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, and ASCII punctuation as white space.
+_PLAIN = _LOWER.copy()
+_PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -77,8 +80,11 @@ class Words:
         return len(self.at) - 1
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Words of a string column; a null text has none."""
+def words_of(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Words of a string column; a null text has none.
+
+    ``lower`` folds A-Z; ``plain`` also parts words at ASCII punctuation.
+    """
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     first, last = int(offsets[0]), int(offsets[-1])
@@ -86,8 +92,8 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
         none = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), none, none, np.zeros(0, np.uint8))
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[first:last]
-    if lower:
-        data = _LOWER[data]
+    if lower or plain:
+        data = (_PLAIN if plain else _LOWER)[data]
     offsets = offsets - first
     inside = ~_SPACE[data]
     before = np.empty(len(data), dtype=bool)
