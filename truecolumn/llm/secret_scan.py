@@ -15,7 +15,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truecolumn.llm.common import arrow_batches, stored
@@ -115,6 +115,22 @@ def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(array({kinds})[x.kind], ':', x.start, ':', x.end)), ',')"
 
 
+def _exploded(found: DataFrame, *keys: str) -> DataFrame:
+    """A row for each candidate; a null owner or repository is one of its own."""
+    out = found.where("size(more) > 0").select(*keys, "owner", "repository", F.explode("more").alias("c"))
+    named = [F.coalesce(c, F.lit("\x00")).alias(c) for c in ("owner", "repository")]
+    return out.select(*keys, *named, "c.*")
+
+
+def live_values(exploded: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """Hashes ``h`` that few owners and repositories hold; counts are exact and combined before each shuffle."""
+    by_repository = exploded.groupBy("h", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = by_repository.groupBy("h", "owner").agg(F.count("*").alias("repositories"))
+    holders = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    return holders.where(few).select("h")
+
+
 def scan(
     docs: DataFrame,
     key: str = "doc_id",
@@ -144,12 +160,8 @@ def scan(
     )
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
 
-    exploded = found.where("size(more) > 0").select("row", "owner", "repository", F.explode("more").alias("c"))
-    exploded = exploded.select("row", F.coalesce("owner", F.lit("\x00")).alias("owner"), F.coalesce("repository", F.lit("\x00")).alias("repository"), "c.*")
-    by_repository = exploded.groupBy("h", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("h", "owner").agg(F.count("*").alias("repositories"))
-    holders = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    live = holders.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("h")
+    exploded = _exploded(found, "row")
+    live = live_values(exploded, max_owners, max_repositories)
     owned = F.struct(F.col("start"), F.lit(KINDS.index("owned")).alias("kind"), F.col("end"))
     added = exploded.join(live, "h").groupBy("row").agg(F.collect_list(owned).alias("more_spans"))
 
@@ -177,14 +189,68 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, spans: str = "spans", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; a null text stays null."""
-    pieces = F.expr(
-        f"""transform(sequence(0, size({spans})), i -> concat(
-            if(i = 0, '', '{mark}'),
-            substring({text},
-                if(i = 0, 1, {spans}[greatest(i - 1, 0)].end + 1),
-                if(i = size({spans}), length({text}), {spans}[least(i, size({spans}) - 1)].start)
-                    - if(i = 0, 0, {spans}[greatest(i - 1, 0)].end))))"""
+def redact(spans: str, text: str, mark: str) -> Column:
+    """``text`` with its spans (in order, as of :func:`scan`) replaced by ``mark``; overlapping spans share one mark."""
+    merged = f"""aggregate({spans}, cast(array() as array<struct<start: int, end: int>>), (done, x) ->
+        if(size(done) > 0 and x.start < done[greatest(size(done) - 1, 0)].end,
+           concat(slice(done, 1, greatest(size(done) - 1, 0)), array(named_struct(
+               'start', done[greatest(size(done) - 1, 0)].start,
+               'end', greatest(done[greatest(size(done) - 1, 0)].end, x.end)))),
+           concat(done, array(named_struct('start', x.start, 'end', x.end)))))"""
+    pieces = f"""transform(sequence(0, size(m)), i -> substring({text},
+        if(i = 0, 1, m[greatest(i - 1, 0)].end + 1),
+        if(i = size(m), length({text}), m[least(i, size(m) - 1)].start) - if(i = 0, 0, m[greatest(i - 1, 0)].end)))"""
+    return F.expr(
+        f"if({text} is null or size({spans}) = 0, {text}, "
+        f"array_join(transform(array({merged}), m -> array_join({pieces}, '{mark}')), ''))"
+    )
+
+
+def redact_documents(
+    docs: DataFrame,
+    text: str = "text",
+    owner: str = "source",
+    repository: str = "doc_id",
+    n_chars: str = "n_chars",
+    mark: str = "[SECRET]",
+) -> DataFrame:
+    """``docs`` with every secret of its texts replaced by ``mark`` and ``n_chars`` brought up to date.
+
+    No row goes; columns and null texts stay as they are.  Texts without further
+    candidates are redacted where they are read; only the few others meet the
+    table of live values, by a hash of the text.
+    """
+    arrow_batches(docs.sparkSession)
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    prepared = docs.select(row.alias("row"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), plain.alias("text"))
+    span = "array<struct<start: int, kind: int, end: int>>"
+    kinds = f"base {span}, more array<struct<start: int, end: int, h: string>>"
+
+    hashes = [F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(7), "text").alias("x2")]
+    keyed = prepared.select(F.struct(*hashes).alias("key"), "owner", "repository", "text")
+    found = keyed.mapInArrow(_scanned, f"key struct<x1: long, x2: long>, owner string, repository string, {kinds}")
+    exploded = _exploded(stored(found.where("size(more) > 0").drop("base"), "secret-candidates"), "key")
+    live = live_values(exploded, MAX_OWNERS, MAX_REPOSITORIES)
+    owned = F.struct(F.col("start"), F.lit(KINDS.index("owned")).alias("kind"), F.col("end"))
+    added = exploded.join(live, "h").groupBy("key").agg(F.collect_set(owned).alias("more_spans"))
+    added = stored(added.select("key.x1", "key.x2", "more_spans"), "secret-added")
+
+    row_type = docs.select(row.alias("row")).schema[0].dataType.simpleString()
+    scanned = prepared.select(F.col("row").alias("key"), "owner", "repository", "text").mapInArrow(
+        _scanned, f"key {row_type}, owner string, repository string, {kinds}"
     )
-    return docs.withColumn(text, F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(F.col(text)))
+    own = F.col("key").getField(text)
+    scanned = scanned.select("key", "base", F.size("more").alias("n"))
+    simple = scanned.where("n = 0").select("key", F.col("base").alias("spans"))
+    whole = F.coalesce(own.cast("string"), F.lit(""))
+    others = scanned.where("n > 0").withColumns({"x1": F.xxhash64(whole), "x2": F.xxhash64(F.lit(7), whole)}).join(added, ["x1", "x2"], "left")
+    more = F.coalesce("more_spans", F.expr(f"cast(array() as {span})"))
+    every = simple.union(others.select("key", F.array_sort(F.concat("base", more)).alias("spans")))
+    every = every.withColumn("changed", redact("spans", f"key.`{text}`", mark))
+    columns = {c: F.col("key").getField(c) for c in docs.columns}
+    if n_chars in columns:
+        length = F.when(F.size("spans") > 0, F.length("changed")).otherwise(columns[n_chars])
+        columns[n_chars] = length.cast(docs.schema[n_chars].dataType)
+    columns[text] = F.col("changed")
+    return every.select(*[c.alias(name) for name, c in columns.items()])
