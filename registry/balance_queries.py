@@ -204,8 +204,7 @@ FROM versions, b WHERE personal_account_id >= 0 GROUP BY 1, 2""",
     "duplicate_keys": f"""
 WITH turnovers AS ({_T})
 SELECT personal_account_id, day, count(*) AS rows_count FROM turnovers
-GROUP BY personal_account_id, day HAVING count(*) > 1
-ORDER BY personal_account_id, day LIMIT 100""",
+GROUP BY personal_account_id, day HAVING count(*) > 1""",
     "null_counts": f"""
 WITH versions AS ({_V})
 SELECT count(*) FILTER (WHERE close_dt IS NULL) AS null_close_dt,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry import balance_queries as BQ
 from registry import inputs as I
 from registry import messy as M
+from truecolumn.errors import LoadError
 from truecolumn.functions.convert import integral_text
 from truecolumn.operators import blocks as B
 from truecolumn.operators import load_plan as L
@@ -411,7 +412,9 @@ def load_partitioned(spark, sf):
 
 def shard_assignment(spark, sf):
     keys = I.table(spark, sf, "orders").select(S.shard_of(F.col("o_orderkey"), 16).alias("shard"))
-    return keys.groupBy("shard").agg(F.count(F.lit(1)).alias("rows_total"))
+    shards = keys.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.sum("n") / 16
+    return shards.agg(F.sum("n").alias("rows_total"), ((F.min("n") >= mean / 2) & (F.max("n") <= mean * 1.5)).alias("even"))
 
 
 def replace_day(spark, sf):
@@ -424,33 +427,63 @@ def replace_day(spark, sf):
     return spark.table(table)
 
 
-_RUNS_SQL = """
-SELECT user_id, CAST(count(*) AS BIGINT) AS rows_count, CAST(count(*) // 20 AS BIGINT) AS blocks,
-       CAST(sum(length(props)) AS BIGINT) AS raw_bytes, CAST(sum(length(event_type)) AS BIGINT) AS wire_bytes,
-       CAST(1 + user_id % 3 AS BIGINT) AS worker_count, count(*) / 8.0 AS wall FROM events GROUP BY user_id"""
+def run_ratios(spark, sf):
+    """Records of two real loads of the orders: what they counted, and whether the ratios are in range."""
+    database, runs = _scratch_database(spark), scratch_path(spark, "runs")
+    columns = _mappings((("id", "order_key", "UInt64", "", ""), ("note", "comment", "Nullable(String)", "", "")))
+    text = M.messy(spark, sf, "order_key", "comment")
+    for name in ("first", "second"):
+        load_runs.load(text, columns, f"{database}.{name}", runs_path=runs)
+    ratios = load_runs.run_ratios(spark.read.parquet(runs))
+    return ratios.select(
+        F.substring_index("target", ".", -1).alias("target"), "outcome", "rows", "raw_bytes",
+        (F.col("wire_bytes") > 0).alias("has_files"),
+        (F.col("compression_ratio") > 0).alias("has_ratio"),
+        (F.col("insert_wall_s") <= F.col("total_s")).alias("timed"),
+    )
 
 
-def run_ratios(spark, sf):
-    """Each user's events taken as one load."""
-    events = I.table(spark, sf, "events")
-    n = F.count(F.lit(1))
-    runs = events.groupBy("user_id").agg(
-        F.floor(n / 20).alias("blocks"),
-        F.sum(F.length("props")).alias("raw_bytes"),
-        F.sum(F.length("event_type")).alias("wire_bytes"),
-        (F.lit(1) + F.col("user_id") % 3).alias("worker_count"),
-        (n / 8).alias("insert_wall_s"),
-        (n / 16).alias("insert_busy_s"),
-        (n / 64).alias("server_s"),
-        (n / 128).alias("read_s"),
-        (n / 128).alias("convert_s"),
-        (n / 256).alias("serialize_s"),
-        (n / 256).alias("stall_s"),
+def csv_quoted_newlines(spark, sf):
+    """Line breaks inside quoted cells, read as one cell each."""
+    texts = I.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    path = _csv_copy(spark, texts)
+    read = C.read_text_table(spark, path, C.ReadOptions(multi_line=True))
+    return read.select("id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+def csv_unclosed_quotes(spark, sf):
+    """Lines whose quote is not closed, found; the others stay."""
+    lines = I.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 37 == 0, F.concat("o_orderkey", F.lit(',"'), "o_orderpriority"))
+        .otherwise(F.concat("o_orderkey", F.lit(","), "o_orderpriority")).alias("value")
     )
-    return load_runs.run_ratios(runs).select(
-        "user_id", F.round("compression_ratio", 6).alias("compression_ratio"), "server_share",
-        "server_share_of_insert", F.round("worker_occupancy", 6).alias("worker_occupancy"), "unattributed_s",
+    path = _csv_copy(spark, lines.toDF("key,priority"), sep="\x01", quote="\x02", escape="\x02")
+    return C.bad_rows(spark, path).select("line")
+
+
+def csv_undecodable(spark, sf):
+    """Lines with bytes that are no UTF-8, found."""
+    lines = I._over(spark, sf, "orders", _CYRILLIC).where("o_orderkey % 5 < 2")
+    lines = lines.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("label")).otherwise(F.lit("plain")).alias("label"))
+    path = _csv_copy(spark, lines, encoding="windows-1251", sep=";")
+    found = C.bad_rows(spark, path, C.ReadOptions(";"))
+    return found.select(F.substring_index("line", ";", 1).alias("order_key"))
+
+
+def load_refuses_bad_lines(spark, sf):
+    """A load of a file with malformed lines: its record, and that no table is there."""
+    database, runs = _scratch_database(spark), scratch_path(spark, "runs")
+    lines = I.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 101 == 0, F.concat("o_orderkey", F.lit(",x,LOST"))).otherwise(F.concat("o_orderkey", F.lit(",x"))).alias("value")
     )
+    path = _csv_copy(spark, lines.toDF("key,word"), sep="\x01", quote="\x02", escape="\x02")
+    columns = _mappings((("id", "key", "UInt64", "", ""), ("word", "word", "String", "", "")))
+    try:
+        load_runs.load(C.read_text_table(spark, path), columns, f"{database}.lost", runs_path=runs)
+    except LoadError:
+        pass
+    left = len(spark.catalog.listTables(database))
+    return spark.read.parquet(runs).select("outcome", "fate", "rows", F.lit(left).cast("long").alias("tables"))
 
 
 QUERIES = {
@@ -461,7 +494,8 @@ QUERIES = {
             choose_encoding, sniff_delimiter, csv_bad_rows, apply_mapping, reject_report,
             first_bad_value, validate_full, validate_sample, clean_value, json_rows, pack_blocks,
             load_summary, oversize_rows, export_json_gzip, load_table, load_partitioned,
-            shard_assignment, replace_day, run_ratios,
+            shard_assignment, replace_day, run_ratios, csv_quoted_newlines, csv_unclosed_quotes,
+            csv_undecodable, load_refuses_bad_lines,
         )
     },
     **{name: _converter(columns) for name, columns in CONVERSIONS.items()},
@@ -553,12 +587,17 @@ SELECT o_orderkey AS id, {_TOTAL} AS total, {_DAY} AS order_date,
   o_orderkey % 2 = 0 AS even, CAST(year(o_orderdate) AS INTEGER) AS order_year
 FROM orders""",
     "replace_day": BQ._backfill_sql().split("\nUNION ALL SELECT * FROM d3")[0],
-    "run_ratios": f"""
-SELECT user_id, round(CAST(raw_bytes AS DOUBLE) / wire_bytes, 6) AS compression_ratio,
-  CASE WHEN blocks > 0 AND worker_count = 1 THEN CAST((wall / 8) / wall AS DOUBLE) END AS server_share,
-  CASE WHEN blocks > 0 THEN CAST((wall / 8) / (wall / 2) AS DOUBLE) END AS server_share_of_insert,
-  CASE WHEN blocks > 0 THEN round(CAST((wall / 2) / (worker_count * wall) AS DOUBLE), 6) END AS worker_occupancy,
-  CASE WHEN blocks > 0 THEN CAST(wall - (wall / 16 + wall / 16 + wall / 32 + wall / 32) AS DOUBLE) END AS unattributed_s
-FROM ({_RUNS_SQL})""",
+    "run_ratios": """
+SELECT target, 'ok' AS outcome, count(*) AS rows,
+       CAST(sum(strlen('{"id":' || o_orderkey || ',"note":' ||
+           CASE WHEN o_orderkey % 7 = 0 THEN 'null' WHEN o_orderkey % 11 = 0 THEN '"NA"'
+                ELSE '"' || o_orderstatus || '"' END || '}')) AS BIGINT) AS raw_bytes,
+       true AS has_files, true AS has_ratio, true AS timed
+FROM orders, (VALUES ('first'), ('second')) t(target) GROUP BY target""",
+    "csv_quoted_newlines": "SELECT CAST(doc_id AS VARCHAR) AS id, length(text) AS chars, md5(text) AS digest FROM documents",
+    "csv_unclosed_quotes": """SELECT o_orderkey || ',"' || o_orderpriority AS line FROM orders WHERE o_orderkey % 37 = 0""",
+    "csv_undecodable": "SELECT CAST(o_orderkey AS VARCHAR) AS order_key FROM orders WHERE o_orderkey % 5 = 0",
+    "load_refuses_bad_lines": "SELECT 'failed' AS outcome, 'not_created' AS fate, CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS tables",
+    "shard_assignment": "SELECT count(*) AS rows_total, true AS even FROM orders",
     **{name: _conversion_sql(columns) for name, columns in CONVERSIONS.items()},
 }

@@ -7,6 +7,7 @@ import threading
 from datetime import date, datetime
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ def test_reading(spark, tmp_path):
     gz.write_bytes(gzip.compress((tmp_path / "a.csv").read_bytes()))
     assert rows(C.read_text_table(spark, str(gz))) == rows(df)
     multi = write(tmp_path / "m.csv", 'a,b\n1,"x\ny"\n')
+    with pytest.raises(Exception, match="open quote"):
+        C.read_text_table(spark, multi).collect()
     assert rows(C.read_text_table(spark, multi, C.ReadOptions(multi_line=True))) == [("1", "x\ny")]
 
 
@@ -58,6 +61,8 @@ def test_bad_rows(spark, tmp_path):
     path = write(tmp_path / "b.csv", 'a,b\n1,2\n1,2,3\n1,2,\n1\n"x,y",2\n"x,y",2,,4\n')
     found = sorted(rows(C.bad_rows(spark, path)))
     assert found == [('"x,y",2,,4', 4), ("1,2,", 3), ("1,2,3", 3)]
+    with pytest.raises(Exception, match="too many fields"):
+        C.read_text_table(spark, path, columns=["a"]).collect()
     with pytest.raises(SchemaError, match="3 fields"):
         C.require_regular(spark, write(tmp_path / "c.csv", "a,b\n1,2,3\n"))
     watched = C.read_text_table(spark, path, watch_width=True)
@@ -67,6 +72,21 @@ def test_bad_rows(spark, tmp_path):
     assert {r["value"] for r in V.refused_cells(watched, mapping).collect()} == {f[0] for f in found}
 
 
+def test_nothing_is_lost_in_silence(spark, tmp_path):
+    for name, content in (("q", b'id,name\n1,Ann\n2,"Bob\n'), ("u", b"id,name\n1,\xff\xfe\n"), ("w", b'id,name\n1,"x,y",""""\n')):
+        (tmp_path / name).write_bytes(content)
+        assert C.bad_rows(spark, str(tmp_path / name)).count() == 1
+        mapping = [ColumnMapping("id", "id", "UInt8"), ColumnMapping("name", "name", "String")]
+        with pytest.raises(LoadError, match="header"):
+            load_runs.load(C.read_text_table(spark, str(tmp_path / name)), mapping, f"lost_{name}")
+        assert not spark.catalog.tableExists(f"lost_{name}")
+    fine = write(tmp_path / "f", 'id,name\n1,5" pipe\n2,"a ""b"""\n')
+    assert rows(C.read_text_table(spark, fine)) == [("1", '5" pipe'), ("2", 'a "b"')]
+    long_cell = write(tmp_path / "l", 'id,name\n1,"' + 'x""' * 400_000 + '"\n')
+    assert len(rows(C.read_text_table(spark, long_cell))[0][1]) == 800_000
+    assert C.sniff_separator(spark, long_cell) == ","
+
+
 def test_encodings(spark, tmp_path):
     path = write(tmp_path / "w.csv", "ID;NAME\n1;тест\n", "cp1251")
     chosen = C.choose_encoding(spark, path, C.ReadOptions(";"))
@@ -249,6 +269,7 @@ def test_load_and_run_record(spark, tmp_path):
     layout = S.Layout(partition_by=["day"], shard_by="id", shards=2, sort_by=("id",))
     run = load_runs.load(df, mapping, "loaded_once", layout, runs)
     assert (run.rows, run.outcome, run.fate) == (3, "ok", S.CREATED) and run.src_bytes > 0
+    assert run.raw_bytes > 0 and run.wire_bytes > 0 and run.blocks == 1
     table = spark.table("loaded_once")
     assert sorted(rows(table.select("id", "value"))) == [(1, "a"), (2, "b"), (3, None)]
     assert table.where("day = '2024-01-02'").count() == 2
@@ -267,6 +288,42 @@ def test_load_and_run_record(spark, tmp_path):
         S.load_table(df, "bad name; drop")
 
 
+@pytest.mark.parametrize("place", [0, 1, 4])
+def test_oversize_line_at_any_place(place):
+    sizes = [10] * 5
+    sizes[place] = 100
+    with pytest.raises(LoadError, match="100 bytes"):
+        B._block_starts(np.array(sizes), 10, 20)
+    assert B._block_starts(np.array([10, 10]), 15, 20)[0].tolist() == [1, 2]
+
+
+def test_a_table_that_appears_meanwhile_stays(spark):
+    df = spark.range(3).selectExpr("id", "cast(id AS string) AS v")
+    real = S.existing_tables
+    calls = []
+
+    def late(session, names):
+        calls.append(names)
+        if len(calls) == 1:
+            spark.range(7).write.saveAsTable("made_by_another")
+            return []
+        return real(session, names)
+
+    S.existing_tables = late
+    try:
+        with pytest.raises(ExistingTableError):
+            S.load_table(df, "made_by_another")
+    finally:
+        S.existing_tables = real
+    assert spark.table("made_by_another").count() == 7
+
+
+def test_buckets_make_few_files(spark):
+    df = spark.range(40_000).selectExpr("id", "cast(id AS string) AS v")
+    S.load_table(df, "bucketed", S.Layout(shard_by="id", shards=16))
+    assert len(spark.table("bucketed").inputFiles()) <= 32
+
+
 def test_append_and_policy(spark):
     df = spark.range(3).selectExpr("id", "cast(id AS string) AS v")
     S.load_table(df, "appended_to")
@@ -274,8 +331,6 @@ def test_append_and_policy(spark):
     assert spark.table("appended_to").where("v = cast(id AS string)").count() == 6
     with pytest.raises(SchemaError):
         S.append_rows(df.select("id"), "appended_to")
-    assert load_runs.sample_rows_for(10) is None
-    assert load_runs.sample_rows_for(60 * 1024 * 1024) == 200_000
 
 
 def test_stopping_a_read(spark):

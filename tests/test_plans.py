@@ -22,14 +22,20 @@ def test_safe_types():
 
 
 def test_nullability():
-    assert T.unwrap_nullable("Nullable(Decimal(18, 2))") == (True, "Decimal(18, 2)")
-    assert T.unwrap_nullable("LowCardinality(Nullable(String))") == (True, "LowCardinality(String)")
-    assert T.with_nullability("LowCardinality(String)", True) == "LowCardinality(Nullable(String))"
-    assert T.with_nullability("Nullable(LowCardinality(String))", True) == "LowCardinality(Nullable(String))"
-    assert T.with_nullability("Nullable(Int8)", False) == "Int8"
-    for text in ("Array(String)", "Nullable(Array(String))", "Tuple(a Int8)"):
-        with pytest.raises(SchemaError):
-            T.with_nullability(text, True)
+    for base in T.BASE_TYPES:
+        for wrapped in (base, f"LowCardinality({base})"):
+            null = T.as_nullable(wrapped, True)
+            assert T.is_nullable(null) and not T.is_nullable(wrapped)
+            assert T.as_nullable(null, True) == null and T.as_nullable(null, False) == wrapped
+            assert null.count("Nullable(") == 1 and null.endswith(f"Nullable({base})" + ")" * wrapped.count("LowC"))
+    assert T.as_nullable("Nullable(LowCardinality(UInt8))", True) == "LowCardinality(Nullable(UInt8))"
+    for text in ("Map(String, UInt8)", "Nullable(Array(Date))", "LowCardinality(Nested(x Int8, y Date))"):
+        with pytest.raises(SchemaError, match="elements"):
+            T.as_nullable(text, True)
+    assert str(T.parse_tree("Enum8('a, (b' = 1, 'c' = 2)")) == "Enum8('a, (b' = 1, 'c' = 2)"
+    assert T.parse_tree("Map(String,Array( UInt8 ))") == T.TypeNode(
+        "Map", (T.TypeNode("String"), T.TypeNode("Array", (T.TypeNode("UInt8"),)))
+    )
 
 
 def test_storage():

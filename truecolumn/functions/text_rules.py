@@ -37,7 +37,7 @@ WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 INTEGER_PATTERN = r"^[+-]?[0-9]+\z"
 UNSIGNED_PATTERN = r"^\+?[0-9]+\z"
-DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,18})?\z"
+DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,18})?\z"
 _RUN = "[0-9](_?[0-9])*"
 FLOAT_PATTERN = rf"^[+-]?({_RUN}(\.({_RUN})?)?|\.{_RUN})([eE][+-]?{_RUN})?\z"
 NON_FINITE_PATTERN = r"^[+-]?(?i:nan|inf|infinity)\z"

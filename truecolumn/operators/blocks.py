@@ -14,12 +14,20 @@ from truecolumn.errors import LoadError
 DEFAULT_BLOCK_BYTES = int(16 * 1024 * 1024 * 0.9)
 
 
-def json_lines(df: DataFrame, columns: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
+def json_lines(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    keep: list[str] = (),
+    decimals_as_text: list[str] | None = None,
+) -> DataFrame:
     """One JSON object per row in ``line``.
 
     Column order is kept, nulls are written, text stays as it is.  Decimals
     with a fraction and dates go out as text, so no digit is lost; whole
     numbers, also 64-bit unsigned ones, go out as numbers.
+    ``decimals_as_text`` names the decimals without a fraction that go out as
+    text; by default those that a mapping marked as such.  A row with NaN or an
+    infinity, for which JSON has no number, fails the job.
     """
     columns = columns or df.columns
     fields = []
@@ -28,11 +36,16 @@ def json_lines(df: DataFrame, columns: list[str] | None = None, keep: list[str]
         kind = field.dataType
         whole = isinstance(kind, T.DecimalType) and kind.scale == 0
         logical = (field.metadata or {}).get("logical", "")
-        as_number = whole and "Decimal" not in logical
+        as_text = "Decimal" in logical if decimals_as_text is None else name in decimals_as_text
+        as_number = whole and not as_text
         if isinstance(kind, T.DecimalType) and not as_number:
             column = column.cast("string")
         elif isinstance(kind, (T.DateType, T.TimestampNTZType)):
             column = column.cast("string")
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            odd = F.isnan(column) | (F.abs(column) == float("inf"))
+            message = F.lit(f"column {name!r} holds a value that is no finite number")
+            column = F.when(F.coalesce(odd, F.lit(False)), F.raise_error(message).cast(kind)).otherwise(column)
         fields.append(column.alias(name))
     line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     return df.select(*[F.col(f"`{k}`") for k in keep], line.alias("line"))
@@ -49,18 +62,18 @@ def _block_starts(lengths: np.ndarray, used: int, limit: int):
     ``used`` is what the open block already holds (newlines included).  Gives
     the block offset of each line and what the last block holds then.
     """
+    if len(lengths) and int(lengths.max()) > limit:
+        raise LoadError(f"a row of {int(lengths.max())} bytes exceeds the block limit {limit}")
     ends = np.cumsum(lengths + 1)
     offsets = np.zeros(len(lengths), dtype=np.int64)
     start, base, block = 0, -used, 0
     while start < len(lengths):
         # The newline of the last line of a block is not sent.
         stop = int(np.searchsorted(ends, base + limit + 1, side="right"))
-        if stop > start:
-            offsets[start:stop] = block
+        offsets[start:stop] = block
         if stop >= len(lengths):
             return offsets, int(ends[-1] - base)
-        if stop == start and (start or not used):
-            raise LoadError(f"a row of {lengths[start]} bytes exceeds the block limit {limit}")
+        # Every line fits an empty block, so the next block takes at least one.
         base, start, block = int(ends[stop - 1]) if stop else 0, stop, block + 1
     return offsets, used
 

@@ -19,10 +19,10 @@ def rows_per_day(df: DataFrame, day: str = "day") -> DataFrame:
     return df.groupBy(day).agg(F.count(F.lit(1)).alias("rows_total"))
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], limit: int = 100) -> DataFrame:
-    """The first ``limit`` keys, in key order, that occur more than once."""
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All keys that occur more than once, and how often; null is a key too."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_count"))
-    return counted.where("rows_count > 1").orderBy(*keys).limit(limit)
+    return counted.where("rows_count > 1")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:

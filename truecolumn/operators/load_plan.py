@@ -69,7 +69,7 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
                     F.lit("").alias("target"),
                     F.col(BAD_LINE).alias("value"),
                     F.lit("").alias("type"),
-                    F.lit("line has more fields than the header").alias("reason"),
+                    F.lit("malformed line: too many fields, an open quote or undecodable bytes").alias("reason"),
                 ),
             )
         )

@@ -9,10 +9,10 @@ from truecolumn.errors import SchemaError
 from truecolumn.plans.header import repeated
 from truecolumn.plans.type_text import (
     LogicalType,
+    as_nullable,
     check_type_text,
     parse_type,
-    unwrap_nullable,
-    with_nullability,
+    is_nullable,
 )
 
 
@@ -28,7 +28,7 @@ class ColumnMapping:
 
     @property
     def nullable(self) -> bool:
-        return unwrap_nullable(self.final_type)[0]
+        return is_nullable(self.final_type)
 
     @property
     def logical(self) -> LogicalType:
@@ -38,7 +38,7 @@ class ColumnMapping:
     def build(cls, source_name, target_name, final_type, nullable=None, **rest):
         """A mapping whose type text agrees with an explicit nullable mark."""
         if nullable is not None:
-            final_type = with_nullability(final_type.strip(), bool(nullable))
+            final_type = as_nullable(final_type, bool(nullable))
         return cls(source_name, target_name.strip(), check_type_text(final_type), **rest)
 
 

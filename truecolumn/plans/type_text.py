@@ -35,7 +35,7 @@ TYPE_MENU: tuple[str, ...] = BASE_TYPES + tuple(f"Nullable({t})" for t in BASE_T
 
 _INTEGER = re.compile(r"^(U?)Int(8|16|32|64|128|256)$")
 _DECIMAL = re.compile(r"^Decimal\(\s*(\d+)\s*,\s*(\d+)\s*\)$")
-_COMPOSITE = ("Array(", "Map(", "Tuple(", "Nested(")
+_COMPOSITE = ("Array", "Map", "Tuple", "Nested")
 _FORBIDDEN = (";", "--", "/*", "*/", "\n", "\r")
 
 _INTEGER_STORAGE = {
@@ -50,6 +50,87 @@ _INTEGER_STORAGE = {
 }
 
 
+@dataclass(frozen=True)
+class TypeNode:
+    """A type as a tree: a name and, after it in brackets, its arguments.
+
+    ``arguments`` is None without brackets.  An argument that is no type (a
+    number, a quoted name, a named field) is a node whose name is its text.
+    """
+
+    name: str
+    arguments: tuple[TypeNode, ...] | None = None
+
+    def __str__(self) -> str:
+        if self.arguments is None:
+            return self.name
+        return f"{self.name}({', '.join(map(str, self.arguments))})"
+
+    @property
+    def nullable(self) -> bool:
+        return any(node.name == _NULLABLE for node in self.wrappers())
+
+    def wrappers(self):
+        """The one-argument wrappers around the base, from outside, and the base itself."""
+        node = self
+        while node.name in _WRAPPERS and node.arguments and len(node.arguments) == 1:
+            yield node
+            node = node.arguments[0]
+        yield node
+
+    def rebuilt(self, nullable: bool) -> TypeNode:
+        """The same base and storage wrapper, nullable or not."""
+        *wrappers, base = self.wrappers()
+        if nullable and base.name in _COMPOSITE:
+            raise SchemaError(f"{base} holds other types and cannot be null itself; mark its elements nullable")
+        out = TypeNode(_NULLABLE, (base,)) if nullable else base
+        stored_apart = any(w.name == _DICTIONARY for w in wrappers)
+        return TypeNode(_DICTIONARY, (out,)) if stored_apart else out
+
+
+_NULLABLE, _DICTIONARY = "Nullable", "LowCardinality"
+_WRAPPERS = (_NULLABLE, _DICTIONARY)
+_TOKEN = re.compile(r"""'[^']*'|"[^"]*"|[(),]|[^'"(),]+""")
+
+
+def parse_tree(text: str) -> TypeNode:
+    """The tree of one type expression; SchemaError where brackets or quotes do not match."""
+    tokens = _TOKEN.findall(text)
+    if "".join(tokens) != text:
+        raise SchemaError(f"a quote is not closed in type {text!r}")
+    # Each open bracket has the names before it and the arguments so far.
+    stack: list[tuple[str, list[TypeNode]]] = []
+    word, node = "", None
+
+    def finished() -> TypeNode:
+        if node is not None and word.strip():
+            node_text = f"{node}{word.rstrip()}"
+            return TypeNode(node_text)
+        if node is None and not word.strip():
+            raise SchemaError(f"a part is missing in type {text!r}")
+        return node if node is not None else TypeNode(word.strip())
+
+    for token in tokens:
+        if token == "(":
+            stack.append((word.strip(), []))
+            word, node = "", None
+        elif token in ",)":
+            if not stack:
+                raise SchemaError(f"unexpected {token!r} in type {text!r}")
+            empty = token == ")" and not stack[-1][1] and node is None and not word.strip()
+            if not empty:
+                stack[-1][1].append(finished())
+            word, node = "", None
+            if token == ")":
+                name, arguments = stack.pop()
+                node = TypeNode(name, tuple(arguments))
+        else:
+            word += token
+    if stack:
+        raise SchemaError(f"a bracket is not closed in type {text!r}")
+    return finished()
+
+
 def check_type_text(text: str) -> str:
     """The trimmed expression, or SchemaError when it is not one safe type."""
     trimmed = text.strip()
@@ -58,56 +139,17 @@ def check_type_text(text: str) -> str:
     starts_with_letter = trimmed[0].isascii() and trimmed[0].isalpha()
     if not starts_with_letter or any(token in trimmed for token in _FORBIDDEN):
         raise SchemaError(f"unsafe type expression: {text}")
-    bare = re.sub(r"'[^']*'|\"[^\"]*\"", "", trimmed)
-    depth = 0
-    for mark in re.findall(r"[(),]", bare):
-        if mark == "," and depth <= 0:
-            raise SchemaError(f"unsafe type expression: {text}")
-        depth += {"(": 1, ")": -1}.get(mark, 0)
-        if depth < 0:
-            break
-    if depth or re.search(r"['\"]", bare):
-        raise SchemaError(f"unbalanced type expression: {text}")
+    parse_tree(trimmed)
     return trimmed
 
 
-def _inside(wrapper: str, text: str) -> str | None:
-    if text.startswith(wrapper + "(") and text.endswith(")"):
-        return text[len(wrapper) + 1 : -1]
-    return None
-
+def is_nullable(text: str) -> bool:
+    return parse_tree(text.strip()).nullable
 
-def unwrap_nullable(text: str) -> tuple[bool, str]:
-    """Nullability and the type without it, also through LowCardinality."""
-    inner = _inside("Nullable", text)
-    if inner is not None:
-        return True, inner
-    inner = _inside("LowCardinality", text)
-    if inner is not None:
-        nullable, base = unwrap_nullable(inner)
-        return nullable, f"LowCardinality({base})"
-    return False, text
 
-
-def with_nullability(text: str, nullable: bool) -> str:
-    """The type with nullability written where it belongs.
-
-    It goes inside LowCardinality and is refused on Array, Map, Tuple, Nested.
-    """
-    inner = _inside("LowCardinality", text)
-    if inner is not None:
-        return f"LowCardinality({with_nullability(inner, nullable)})"
-    inner = _inside("Nullable", text)
-    if inner is not None:
-        return with_nullability(inner, nullable)
-    if not nullable:
-        return text
-    if text.startswith(_COMPOSITE):
-        raise SchemaError(
-            f"Nullable({text}) does not exist; make the element nullable instead "
-            "and clear the nullable mark of the column"
-        )
-    return f"Nullable({text})"
+def as_nullable(text: str, nullable: bool) -> str:
+    """The type with nullability written where it belongs, inside LowCardinality."""
+    return str(parse_tree(text.strip()).rebuilt(nullable))
 
 
 @dataclass(frozen=True)
@@ -146,10 +188,10 @@ class LogicalType:
 
 def parse_type(text: str) -> LogicalType:
     checked = check_type_text(text)
-    nullable, base = unwrap_nullable(checked)
-    inner = _inside("LowCardinality", base)
-    low_cardinality = inner is not None
-    base = base if inner is None else inner
+    tree = parse_tree(checked)
+    *wrappers, innermost = tree.wrappers()
+    nullable, base = tree.nullable, str(innermost)
+    low_cardinality = any(w.name == _DICTIONARY for w in wrappers)
     shape: dict = {"kind": "other"}
     if match := _INTEGER.match(base):
         shape = {"kind": "integer", "signed": not match[1], "bits": int(match[2])}

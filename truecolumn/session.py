@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from truecolumn.errors import ReadCancelled
+from truecolumn.errors import LoadError, ReadCancelled
 
 # Expressions over many columns can generate methods the JVM refuses to
 # compile (beyond 8000 bytes of byte code).  Below this limit Spark falls back
@@ -64,10 +64,13 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is one made here.
+    Only a session of one machine may go without it and gets a folder of its own;
+    on a cluster a machine's folder would not be seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise LoadError("set spark.checkpoint.dir to a folder that all executors reach")
         named = tempfile.mkdtemp(prefix="truecolumn-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

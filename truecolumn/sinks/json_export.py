@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truecolumn.errors import LoadError, SchemaError
@@ -10,6 +10,8 @@ from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines
 
 # How the text may be compressed; "off" leaves it plain.
 COMPRESSION: tuple[str, ...] = ("off", "zstd", "lz4", "gzip")
+# Writers of text need Hadoop's codec for zstd, which needs a native library.
+_NEEDS_NATIVE = ("zstd",)
 
 
 def text_codec(compression: str | None) -> str:
@@ -21,6 +23,11 @@ def text_codec(compression: str | None) -> str:
     return compression
 
 
+def native_codecs(spark: SparkSession) -> bool:
+    """Whether Hadoop's native library, which its zstd codec needs, is loaded."""
+    return bool(spark.sparkContext._jvm.org.apache.hadoop.util.NativeCodeLoader.isNativeCodeLoaded())
+
+
 def export_json(
     df: DataFrame, path: str, compression: str | None = "gzip", limit: int = DEFAULT_BLOCK_BYTES
 ) -> str:
@@ -30,6 +37,8 @@ def export_json(
     and ``lz4`` need the native codecs of the cluster.
     """
     codec = text_codec(compression)
+    if codec in _NEEDS_NATIVE and not native_codecs(df.sparkSession):
+        raise LoadError(f"this session has no native library for {codec}; use gzip or lz4")
     length = F.octet_length("line")
     message = F.format_string(f"a row of %d bytes is longer than {limit} bytes", length)
     short_enough = F.when(length <= limit, F.lit(True)).otherwise(

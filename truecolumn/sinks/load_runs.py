@@ -14,14 +14,11 @@ from pyspark.sql import types as T
 
 from truecolumn.errors import TrueColumnError
 from truecolumn.operators import load_plan as L
-from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES
-from truecolumn.operators.validate import DEFAULT_SAMPLE_ROWS, require_valid
+from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines
+from truecolumn.operators.validate import require_valid
 from truecolumn.plans.mapping import ColumnMapping
 from truecolumn.sinks import tables as S
 
-# Fixed value: sources above this size are validated by a sample.
-SAMPLE_ABOVE_BYTES = 50 * 1024 * 1024
-
 RUN_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("run_id", "target", "source", "outcome", "fate", "error", "spark_version")]
     + [T.StructField(n, T.LongType()) for n in ("rows", "blocks", "src_bytes", "raw_bytes", "wire_bytes", "worker_count")]
@@ -35,7 +32,11 @@ RUN_SCHEMA = T.StructType(
 
 @dataclass
 class LoadRun:
-    """Counters of one load; seconds stay null when a stage was not measured."""
+    """Counters of one load; seconds stay null when a stage was not measured.
+
+    ``raw_bytes`` are the rows as JSON, ``wire_bytes`` the files written,
+    ``blocks`` how many blocks of the size limit the rows would fill.
+    """
 
     target: str
     source: str = ""
@@ -134,21 +135,16 @@ def run_report(runs: DataFrame) -> DataFrame:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Size of the files a table is read from (a figure per file, not per row)."""
-    files = df.inputFiles()
-    if not files:
-        return 0
-    sizes = df.sparkSession.read.format("binaryFile").load(files).select("length")
-    return sizes.agg(F.sum("length").alias("n")).first()["n"] or 0
+    """Size of the files a table is read from, as the scans of its plan know it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(x.stats().sizeInBytes()) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
 
 
-def sample_rows_for(src_bytes: int, batch_rows: int = 100_000) -> int | None:
-    """Leading rows to validate beforehand: all (None) of a small source,
-    otherwise a sample.  For a source of any size the load itself checks every
-    cell again and creates nothing when one is refused."""
-    if src_bytes <= SAMPLE_ABOVE_BYTES:
-        return None
-    return max(DEFAULT_SAMPLE_ROWS, batch_rows)
+def table_bytes(df: DataFrame) -> int:
+    """Size of a table's files: one row per file, summed in the plan."""
+    sizes = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    return sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
 
 
 def load(
@@ -158,33 +154,45 @@ def load(
     layout: S.Layout = S.Layout(),
     runs_path: str | None = None,
     preflight_rows: int | None = None,
-    preflight: bool = True,
+    preflight: bool = False,
     max_line_bytes: int = DEFAULT_BLOCK_BYTES,
 ) -> LoadRun:
-    """Validate, convert and load a text table into a new table.
+    """Validate, convert and load a text table into a new table, in one pass.
 
-    The whole table is validated first unless ``preflight_rows`` asks for the
-    leading rows only (see :func:`sample_rows_for`) or ``preflight`` is off.
-    Conversion is strict: a bad cell stops the job and the target is not
-    created, so a full validation pass is a courtesy, not a need.
+    Conversion is strict and takes place in the job that writes: a bad cell, a
+    malformed line or a row of more than ``max_line_bytes`` as JSON stops it, and
+    the target is not created.  That job also counts rows and bytes.
+    ``preflight`` validates beforehand, all rows or the leading
+    ``preflight_rows``, for an error that counts all refusals.
     """
     spark = text.sparkSession
-    run = LoadRun(target=target, src_bytes=source_bytes(text))
+    run = LoadRun(target=target, src_bytes=source_bytes(text), worker_count=spark.sparkContext.defaultParallelism)
     began = time.perf_counter()
     try:
-        if preflight:
+        if preflight or preflight_rows is not None:
             with run.timed("preflight_s"):
                 require_valid(text, mappings, max_line_bytes, preflight_rows)
         with run.timed("insert_wall_s"):
             counted = pyspark.sql.Observation()
-            typed = L.apply_mapping(text, mappings).observe(
-                counted, F.count(F.lit(1)).alias("rows")
+            typed = L.apply_mapping(text, mappings)
+            columns = [F.col(f"`{c}`") for c in typed.columns]
+            sized = json_lines(typed.select(F.struct(*columns).alias("row"), *columns), typed.columns, keep=["row"])
+            size = F.octet_length("line")
+            message = F.format_string(f"a row of %d bytes is longer than {max_line_bytes} bytes", size)
+            short = F.when(size <= max_line_bytes, size).otherwise(F.raise_error(message).cast("int"))
+            sized = sized.select("row", short.alias("bytes")).observe(
+                counted,
+                F.count(F.lit(1)).alias("rows"),
+                F.coalesce(F.sum(F.col("bytes").cast("bigint")), F.lit(0)).alias("bytes"),
             )
-            S.load_table(typed, target, layout)
-        run.rows = counted.get["rows"]
+            rows = sized.where("bytes >= 0").select("row.*")
+            S.load_table(rows.to(typed.schema), target, layout)
+        run.rows, run.raw_bytes = counted.get["rows"], counted.get["bytes"]
+        run.blocks = -(-run.raw_bytes // max_line_bytes)
+        run.wire_bytes = table_bytes(spark.table(target))
         run.outcome, run.fate = "ok", S.CREATED
     except TrueColumnError as problem:
-        run.error = str(problem)[:2000]
+        run.error = str(problem)
         if type(problem).__name__ == "CleanupError":
             run.fate = S.CLEANUP_FAILED
         raise

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -63,7 +64,9 @@ def arranged(df: DataFrame, layout: Layout) -> DataFrame:
     """
     keys = [F.col(f"`{c}`") for c in layout.partition_columns]
     if layout.shard_by:
-        df = df.withColumn("_shard", shard_of(F.col(f"`{layout.shard_by}`"), layout.shards))
+        # The hash that bucketing itself uses, so that a task holds whole buckets.
+        bucket = F.pmod(F.hash(F.col(f"`{layout.shard_by}`")), F.lit(layout.shards))
+        df = df.withColumn("_shard", bucket)
         keys.append(F.col("_shard"))
     return df.hint("rebalance", *keys).drop("_shard") if keys else df
 
@@ -84,12 +87,21 @@ def drop_tables(spark: SparkSession, names: list[str]) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {check_table_name(name)}")
 
 
+def _written_by(spark: SparkSession, name: str, load_id: str) -> bool:
+    """Whether the table in the catalog carries this load's mark."""
+    if not existing_tables(spark, [name]):
+        return False
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {check_table_name(name)}")
+    return not described.where(F.contains(F.col("data_type"), F.lit(load_id))).isEmpty()
+
+
 def load_table(df: DataFrame, name: str, layout: Layout = Layout()) -> DataFrame:
     """Write a new table and return it.
 
-    An existing target is refused before anything is written.  Spark puts the
-    table into the catalog only after all of its files are committed; if a
-    later step fails, what this call registered is dropped again.
+    An existing target is refused.  Spark puts the table into the catalog only
+    after all of its files are committed.  If a later step fails, the table is
+    dropped again if it carries this load's mark: what someone else created
+    meanwhile stays.
     """
     spark = df.sparkSession
     if existing_tables(spark, [name]):
@@ -97,18 +109,21 @@ def load_table(df: DataFrame, name: str, layout: Layout = Layout()) -> DataFrame
     rows = arranged(layout.derived(df), layout)
     if layout.sort_by and not layout.shard_by:
         rows = rows.sortWithinPartitions(*layout.partition_columns, *layout.sort_by)
+    load_id = uuid.uuid4().hex
     try:
-        _writer(rows, layout).saveAsTable(name)
+        _writer(rows, layout).option("load_id", load_id).saveAsTable(name)
     except Exception as problem:
-        if "ALREADY_EXISTS" in str(problem):  # someone else created it meanwhile
-            raise ExistingTableError(f"target table already exists: {name}") from problem
         try:
-            drop_tables(spark, [name])
+            mine = _written_by(spark, name, load_id)
+            if mine:
+                drop_tables(spark, [name])
         except Exception as second:
             raise CleanupError(
-                f"loading {name} failed ({problem}), and dropping it failed too ({second}); "
-                "remove it before the next load"
+                f"loading {name} failed ({problem}), and cleaning up failed too ({second}); "
+                "look at it before the next load"
             ) from problem
+        if not mine and existing_tables(spark, [name]):
+            raise ExistingTableError(f"target table already exists: {name}") from problem
         raise LoadError(f"loading {name} failed, nothing was created: {problem}") from problem
     return spark.table(name)
 
@@ -137,7 +152,7 @@ def write_folder(df: DataFrame, path: str, layout: Layout = Layout()) -> str:
 def replace_day(df: DataFrame, table: str, day: date | str, column: str = "day") -> int:
     """Replace one day of a table partitioned by day; gives the rows written.
 
-    Only that partition is overwritten.  Dynamic overwrite leaves a partition
+    Only that partition is overwritten; rows of another day fail the job.  Dynamic overwrite leaves a partition
     alone when no row arrives, so an empty day is dropped explicitly.
     """
     spark = df.sparkSession
@@ -145,11 +160,15 @@ def replace_day(df: DataFrame, table: str, day: date | str, column: str = "day")
     date.fromisoformat(day)
     columns = spark.table(check_table_name(table)).columns
     counted = Observation()
+    # A row of another day would otherwise be lost without a word.
+    message = F.concat(F.lit(f"a row is not of {day} but of "), F.coalesce(F.col(column).cast("string"), F.lit("no day")))
+    same = F.when(F.col(column) == F.lit(day).cast("date"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     rows = (
-        df.where(F.col(column) == F.lit(day).cast("date"))
+        df.where(same)
         .select(*[F.col(f"`{c}`") for c in columns])
         .observe(counted, F.count(F.lit(1)).alias("rows"))
     )
+    # A table that is also read is only overwritten under the session's dynamic mode.
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:

@@ -18,6 +18,7 @@ from truecolumn.session import spread
 SEPARATORS: tuple[str, ...] = (",", ";", "\t", "|")
 ENCODINGS: tuple[str, ...] = ("utf_8", "utf-8-sig", "cp1251", "windows-1251")
 SNIFF_CHARACTERS = 8192
+_EXTRA = "_field_beyond_the_header"
 PREVIEW_ROWS = 20
 
 # Spark wants charset names, and drops a byte order mark by itself.
@@ -74,6 +75,52 @@ def header_names(spark: SparkSession, path: str, options: ReadOptions = ReadOpti
     return trimmed_names([cell for cell in first[0]])
 
 
+def line_schema(names: list[str]) -> T.StructType:
+    """The header's columns, one field more, and the raw line.
+
+    Spark hands out the raw text of a line whose number of fields differs from
+    the schema's.  With one column more that is every line but those that have
+    just one field too many, and these show by having no raw text.
+    """
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, _EXTRA, BAD_LINE)])
+
+
+def line_options(options: ReadOptions) -> dict:
+    """Reader settings for :func:`line_schema`; a pruned parser would not count fields."""
+    return {**reader_options(options, True), "columnNameOfCorruptRecord": BAD_LINE, "columnPruning": False}
+
+
+def _cell(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+
+
+def _rewritten(cells: list[Column], separator: str) -> Column:
+    """Cells as a line again, quoted where they need it."""
+    quoted = [
+        F.when(
+            F.contains(c, F.lit(separator)) | F.contains(c, F.lit('"')),
+            F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')),
+        ).otherwise(c)
+        for c in cells
+    ]
+    return F.concat_ws(separator, *quoted)
+
+
+def malformed_line(names: list[str], separator: str) -> Column:
+    """The text of a line that cannot be taken as it is, else null.
+
+    That is a line with more fields than the header, with a quote that opens a
+    cell and is not closed (a cell with a line break needs ``multi_line``), or
+    with bytes that are no text in the chosen encoding.  Short lines are fine.
+    """
+    raw = F.col(BAD_LINE)
+    bare = F.regexp_replace(raw, r'"[^"]*"', "")
+    opens = bare.startswith('"') | F.contains(bare, F.lit(separator + '"'))
+    damaged = F.contains(raw, F.lit("\ufffd"))
+    one_more = _rewritten([_cell(n) for n in (*names, _EXTRA)], separator)
+    return F.when(raw.isNull(), one_more).when((field_count(raw, separator) > len(names)) | opens | damaged, raw)
+
+
 def read_text_table(
     spark: SparkSession,
     path: str,
@@ -85,43 +132,40 @@ def read_text_table(
     """Every cell as raw text, under trimmed header names.
 
     Nothing is typed at the scan: a typed schema would lose ``007``, ``1.50``
-    and ``NA``.  ``columns`` are the only ones parsed.  ``watch_width`` adds
-    ``_bad_line``, the raw text of lines with more fields than the header
-    (null for good lines); short lines are padded.  ``spread_rows`` distributes
-    the rows of files that cannot be split, such as one large gzip file.
+    and ``NA``.  ``columns`` are the only ones kept.  Nothing is lost either: a
+    malformed line (see :func:`malformed_line`) fails the job, or with
+    ``watch_width`` shows its text in ``_bad_line``, which conversion takes as a
+    refused row.  Short lines are padded.  ``spread_rows`` distributes the rows
+    of files that cannot be split, such as one large gzip file.
     """
     names = header_names(spark, path, options)
     wanted = columns or names
     if missing := [c for c in wanted if c not in names]:
         raise SchemaError("source columns not found: " + ", ".join(missing))
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    reader = spark.read.options(**reader_options(options, True))
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted]
+    lines = spark.read.options(**line_options(options)).schema(line_schema(names)).csv(path)
+    marked = lines.select(*[_cell(c).alias(c) for c in wanted], malformed_line(names, options.separator).alias(BAD_LINE))
     if not watch_width:
-        lines = reader.schema(T.StructType(fields)).csv(path).select(*cells)
-        return spread(lines) if spread_rows else lines
-    fields.append(T.StructField(BAD_LINE, T.StringType()))
-    # A pruned parser does not count fields, so the width needs all columns.
-    watched = reader.options(columnNameOfCorruptRecord=BAD_LINE, columnPruning=False)
-    lines = watched.schema(T.StructType(fields)).csv(path)
-    fields_found = field_count(F.col(BAD_LINE), options.separator)
-    # Spark refuses queries on the raw line alone, so a cell takes part as well.
-    touched = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
-    too_wide = F.when(
-        F.col(BAD_LINE).isNotNull() & (fields_found > len(names)) & touched, F.col(BAD_LINE)
-    )
-    return lines.select(*cells, too_wide.alias(BAD_LINE))
+        message = F.concat(
+            F.lit(
+                f"a line does not fit the header of {len(names)} columns with separator {options.separator!r} and encoding "
+                f"{options.encoding} (too many fields, an open quote or undecodable bytes): "
+            ),
+            F.left(BAD_LINE, F.lit(200)),
+        )
+        fine = F.when(F.col(BAD_LINE).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        marked = marked.where(fine).drop(BAD_LINE)
+    return spread(marked) if spread_rows else marked
 
 
 def field_count(line: Column, separator: str) -> Column:
     """Fields of a raw line; separators inside quotes do not count."""
-    bare = F.regexp_replace(line, r'"([^"]|"")*"', "")
+    bare = F.regexp_replace(line, r'"[^"]*"', "")
     removed = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
     return (removed / len(separator) + 1).cast("int")
 
 
 def bad_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
-    """Raw lines with more fields than the header, and how many they have."""
+    """Malformed lines (see :func:`malformed_line`), and how many fields they have."""
     table = read_text_table(spark, path, options, watch_width=True)
     return table.where(F.col(BAD_LINE).isNotNull()).select(
         F.col(BAD_LINE).alias("line"),
@@ -130,19 +174,20 @@ def bad_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions(
 
 
 def require_regular(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> None:
-    """Fail on the first line with more fields than the header."""
+    """Fail on a malformed line."""
     found = bad_rows(spark, path, options).limit(1).collect()
     if found:
         raise SchemaError(
             f"cannot parse with separator {options.separator!r} and encoding {options.encoding}: "
-            f"a line has {found[0]['fields']} fields: {found[0]['line'][:200]}"
+            f"a malformed line has {found[0]['fields']} fields: {found[0]['line'][:200]}"
         )
 
 
 def preview(
     spark: SparkSession, path: str, options: ReadOptions = ReadOptions(), rows: int = PREVIEW_ROWS
 ) -> DataFrame:
-    return read_text_table(spark, path, options).limit(rows)
+    """The first rows, malformed lines among them."""
+    return read_text_table(spark, path, options, watch_width=True).drop(BAD_LINE).limit(rows)
 
 
 def separator_counts(lines: DataFrame, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
@@ -151,7 +196,7 @@ def separator_counts(lines: DataFrame, separators: tuple[str, ...] = SEPARATORS)
     ``lines`` has one text column ``value``.  All candidates are measured in
     one pass; what is inside quotes does not count.
     """
-    bare = F.regexp_replace("value", r'"([^"]|"")*"', "")
+    bare = F.regexp_replace("value", r'"[^"]*"', "")
     size = F.length("bare")
     counts = [
         (size - F.length(F.replace(F.col("bare"), F.lit(s), F.lit("")))).alias(f"n{i}")
@@ -186,11 +231,12 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     Separators and quotes are ASCII, so the bytes are looked at as Latin-1,
     which reads any file.
     """
+    # A line adds at least one character, and none is fetched beyond the limit.
     head = (
         spark.read.text(path)
-        .limit(200)
-        .select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
-        .collect()
+        .limit(SNIFF_CHARACTERS)
+        .select(F.decode(F.substring(F.col("value").cast("binary"), 1, SNIFF_CHARACTERS), "ISO-8859-1").alias("value"))
+        .toLocalIterator()
     )
     kept, size = [], 0
     for row in head:

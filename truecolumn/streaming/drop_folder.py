@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from truecolumn.operators import load_plan as L
 from truecolumn.plans.mapping import ColumnMapping
-from truecolumn.sources.csv_text import ReadOptions, header_names, reader_options
+from truecolumn.sources.csv_text import ReadOptions, header_names, line_options, line_schema, malformed_line
 
 
 def load_new_files(
@@ -21,14 +20,16 @@ def load_new_files(
 ):
     """Start a stream that appends what is new in ``folder`` to ``target`` and ends.
 
-    Good rows go to ``target/accepted``, refused ones with their errors to
-    ``target/refused``.  The checkpoint remembers the files already loaded, so
+    Good rows go to ``target/accepted``, refused ones and malformed lines with
+    their errors to ``target/refused``.  The checkpoint remembers the files already loaded, so
     a restart neither repeats nor skips one.
     """
     names = header_names(spark, folder, options)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    lines = spark.readStream.schema(schema).options(**reader_options(options, True)).csv(folder)
-    cells = lines.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    lines = spark.readStream.schema(line_schema(names)).options(**line_options(options)).csv(folder)
+    cells = lines.select(
+        *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names],
+        malformed_line(names, options.separator).alias(L.BAD_LINE),
+    )
 
     def write(batch, batch_id: int) -> None:
         annotated = L.annotate(batch, mappings).persist()
