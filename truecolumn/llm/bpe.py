@@ -29,29 +29,28 @@ from truecolumn.llm.words import slices
 
 #: Pieces of up to so many bytes are merged by the recursive query.
 LONGEST = 200
-#: Pieces a worker remembers before it starts anew.
-REMEMBERED = 200_000
-#: Pieces of one recursive query.
-BLOCK = 20_000
+#: Pieces of a generation.  A worker remembers the pieces it met in this generation and in the last one.
+REMEMBERED = 500_000
+#: Pieces of one recursive query, and bytes of text that are split at once.
+BLOCK = 60_000
+TEXT_BYTES = 4 << 20
 
 _MERGE = """
-WITH RECURSIVE steps(turn, w, pos, tok) AS (
-    SELECT 0, w, pos, tok FROM pieces
+WITH RECURSIVE steps(w, pos, tok, done) AS (
+    SELECT w, pos, tok, false FROM pieces
   UNION ALL
-    SELECT turn + 1, w, pos, CASE WHEN pair = best THEN id ELSE tok END
+    SELECT w, pos, CASE WHEN pair = best THEN id ELSE tok END, best IS NULL
     FROM (
         SELECT *, lag(pair) OVER (PARTITION BY w ORDER BY pos) AS before, min(pair) OVER (PARTITION BY w) AS best
         FROM (
-            SELECT s.turn, s.w, s.pos, s.tok, m.id, m.id::BIGINT * 4096 + s.pos AS pair
-            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps) s
+            SELECT s.w, s.pos, s.tok, m.id, m.id::BIGINT * 4096 + s.pos AS pair
+            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT done) s
             LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
         )
     )
-    WHERE best IS NOT NULL AND before IS DISTINCT FROM best
+    WHERE best IS NULL OR before IS DISTINCT FROM best
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM steps JOIN (SELECT w, max(turn) AS turn FROM steps GROUP BY w) USING (w, turn)
-GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY pos) AS ids FROM steps WHERE done GROUP BY w ORDER BY w
 """
 
 _DECODE = """
@@ -84,6 +83,7 @@ class Codec:
         ]
         self.pairs = {(a, b): c for a, b, c in merges}
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
         self._fill("merges", pa.table({"a": a, "b": b, "id": c}))
@@ -143,6 +143,9 @@ class Codec:
         new = [p for p in pieces if p not in self.seen]
         short, raws = [], []
         for piece in new:
+            if piece in self.before:
+                self.seen[piece] = self.before[piece]
+                continue
             raw = piece.encode()
             if raw in self.rank:
                 self.seen[piece] = np.array([self.rank[raw]], dtype="<u4").tobytes()
@@ -157,7 +160,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit numbers."""
         if len(self.seen) > REMEMBERED:
-            self.seen = {}
+            self.seen, self.before = {}, self.seen
         split = [self.split(text) for text in texts]
         self.learn(set().union(*split))
         get = self.seen.__getitem__
@@ -202,7 +205,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", with_
     def run(batches):
         own = codec(shared.value, pattern)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, TEXT_BYTES):
                 ids = own.encode([x or "" for x in batch[text].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*[batch[c] for c in names], pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.binary())],
