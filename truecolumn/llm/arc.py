@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truecolumn.llm.common import arrow_batches
+from truecolumn.llm.common import arrow_batches, stored
 from truecolumn.session import scratch_path
 
 #: Records of one archive file, so that a file fits a task many times over.
@@ -260,7 +260,9 @@ def with_types(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     ``refers_to`` is null for the record itself, for shorter payloads and for
     records without a key.  Only digests and keys are aggregated, so a payload
-    that a third of all records share costs one row per task.
+    that a third of all records share costs one row per task.  The digests that
+    occur twice are stored first: Spark then knows their size and moves the
+    payloads only where that table is too large to be sent to every task.
     """
     marked = records.withColumns({"sha": F.sha1("payload"), "size": F.length("payload").cast("long")})
     firsts = (
@@ -270,7 +272,7 @@ def with_types(records: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where("first <> last")
         .select("sha", "size", "first")
     )
-    met = marked.join(firsts, ["sha", "size"], "left")
+    met = marked.join(stored(firsts, "equal-payloads"), ["sha", "size"], "left")
     return met.withColumn("refers_to", F.when(F.col("key") < F.col("first"), F.col("first"))).drop("first")
 
 
