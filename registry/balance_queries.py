@@ -40,7 +40,7 @@ def _day_sql(day: str, opening: str | None) -> str:
     before = f"LEFT JOIN ({opening}) l USING (personal_account_id)" if opening else ""
     last = "coalesce(l.last_balance, 0)" if opening else "0"
     return f"""
-SELECT w.personal_account_id, w.wbuser_id, DATE '{day}' AS day,
+SELECT w.personal_account_id, w.holder_id, DATE '{day}' AS day,
        CAST(coalesce(t.net, 0) AS DECIMAL(18,2)) AS balance_by_day,
        CAST({last} + coalesce(t.net, 0) AS DECIMAL(28,2)) AS balance,
        CAST(coalesce(t.debit_amount, 0) AS DECIMAL(18,2)) AS debit_amount,
@@ -48,7 +48,7 @@ SELECT w.personal_account_id, w.wbuser_id, DATE '{day}' AS day,
        CAST(coalesce(t.debit_operations_count, 0) AS BIGINT) AS debit_operations_count,
        CAST(coalesce(t.credit_operations_count, 0) AS BIGINT) AS credit_operations_count,
        TIMESTAMP '{I.PROCESSED_AT}' AS ch_processed_at
-FROM (SELECT personal_account_id, arg_max(wbuser_id, (ch_processed_at, wbuser_id)) AS wbuser_id
+FROM (SELECT personal_account_id, arg_max(holder_id, (ch_processed_at, holder_id)) AS holder_id
       FROM versions
       WHERE open_dt < DATE '{day}' + INTERVAL 1 DAY
         AND (close_dt >= DATE '{day}' OR close_dt IS NULL)
@@ -129,7 +129,7 @@ def duplicate_keys(spark, sf):
 
 
 def null_counts(spark, sf):
-    return K.null_counts(I.versions(spark, sf), ["close_dt", "wbuser_id"])
+    return K.null_counts(I.versions(spark, sf), ["close_dt", "holder_id"])
 
 
 def load_check(spark, sf):
@@ -168,7 +168,7 @@ SELECT max(personal_account_id) AS max_account_id FROM versions
 WHERE open_dt < DATE '{I.DAY}' + INTERVAL 1 DAY""",
     "active_accounts": f"""
 WITH versions AS ({_V})
-SELECT personal_account_id, arg_max(wbuser_id, (ch_processed_at, wbuser_id)) AS wbuser_id
+SELECT personal_account_id, arg_max(holder_id, (ch_processed_at, holder_id)) AS holder_id
 FROM versions
 WHERE open_dt < DATE '{I.DAY}' + INTERVAL 1 DAY
   AND (close_dt >= DATE '{I.DAY}' OR close_dt IS NULL)
@@ -176,7 +176,7 @@ GROUP BY personal_account_id""",
     "latest_version": f"""
 WITH versions AS ({_V})
 SELECT personal_account_id, arg_max(wallet_id, (ch_processed_at, wallet_id)) AS wallet_id,
-       arg_max(wbuser_id, (ch_processed_at, wbuser_id)) AS wbuser_id
+       arg_max(holder_id, (ch_processed_at, holder_id)) AS holder_id
 FROM versions GROUP BY personal_account_id""",
     "daily_turnover": f"""
 WITH turnovers AS ({_T})
@@ -208,7 +208,7 @@ GROUP BY personal_account_id, day HAVING count(*) > 1""",
     "null_counts": f"""
 WITH versions AS ({_V})
 SELECT count(*) FILTER (WHERE close_dt IS NULL) AS null_close_dt,
-       count(*) FILTER (WHERE wbuser_id IS NULL) AS null_wbuser_id,
+       count(*) FILTER (WHERE holder_id IS NULL) AS null_holder_id,
        count(*) AS rows_total FROM versions""",
     "load_check": """
 SELECT count(*) AS rows_total, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key FROM lineitem""",

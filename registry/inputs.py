@@ -12,7 +12,7 @@ BACKFILL_START, BACKFILL_DAYS = "2024-01-11", 10
 PROCESSED_AT = "2024-02-01 00:00:00"
 
 VERSIONS_SQL = """
-SELECT user_id AS personal_account_id, user_id AS wallet_id, event_id AS wbuser_id,
+SELECT user_id AS personal_account_id, user_id AS wallet_id, event_id AS holder_id,
        ts AS open_dt,
        CASE WHEN event_type = 'error'
             THEN CAST(CAST(ts AS DATE) + INTERVAL 10 DAY AS TIMESTAMP{ntz}) END AS close_dt,

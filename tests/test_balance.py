@@ -10,7 +10,7 @@ from truecolumn.errors import LoadError, SchemaError
 from truecolumn.operators import balance as B
 from truecolumn.sinks import balance_table
 
-VERSION = "personal_account_id long, wallet_id long, wbuser_id long, open_dt timestamp_ntz, close_dt timestamp_ntz, ch_processed_at timestamp_ntz"
+VERSION = "personal_account_id long, wallet_id long, holder_id long, open_dt timestamp_ntz, close_dt timestamp_ntz, ch_processed_at timestamp_ntz"
 TURNOVER = "personal_account_id long, day date, credit_amount decimal(18,2), debit_amount decimal(18,2), credit_operations_count long, debit_operations_count long"
 AT = "2024-02-01 00:00:00"
 DAY = date(2024, 1, 10)
@@ -60,10 +60,10 @@ def test_one_day(hand_made):
     found = {r["personal_account_id"]: r for r in B.daily_balance(*hand_made, DAY, AT).collect()}
     assert sorted(found) == [1, 3, 4, 5, 7]
     one = found[1]
-    assert (one["wbuser_id"], one["balance_by_day"], one["balance"]) == (11, Decimal("11.50"), Decimal("211.50"))
+    assert (one["holder_id"], one["balance_by_day"], one["balance"]) == (11, Decimal("11.50"), Decimal("211.50"))
     assert (one["credit_amount"], one["debit_amount"], one["credit_operations_count"]) == (Decimal("15.50"), Decimal("4.00"), 3)
     assert found[3]["balance"] == found[4]["balance"] == found[5]["balance"] == 0
-    assert found[7]["wbuser_id"] == 71
+    assert found[7]["holder_id"] == 71
     carried = B.daily_balance(*hand_made, DAY, AT, carry="last_known").collect()
     assert {r["personal_account_id"]: r["balance"] for r in carried}[4] == 500
     with pytest.raises(SchemaError):

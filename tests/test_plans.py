@@ -47,8 +47,8 @@ def test_storage():
 
 
 def test_headers():
-    assert H.normalize_name(" C_SPOSOB_KVIT#0 ") == "c_sposob_kvit_0"
-    assert H.normalize_name("Номер счёта - основной") == "номер_счёта_основной"
+    assert H.normalize_name(" A-B KEY#0 ") == "a_b_key_0"
+    assert H.normalize_name("Дата - итог №2") == "дата_итог_2"
     assert H.normalize_name("1st") == "col_1st"
     with pytest.raises(SchemaError):
         H.normalize_name(" -- ")

@@ -2,7 +2,7 @@
 
 Inputs are three tables:
 
-* account versions: ``personal_account_id, wallet_id, wbuser_id, open_dt,
+* account versions: ``personal_account_id, wallet_id, holder_id, open_dt,
   close_dt, ch_processed_at`` - appended rows, the latest version counts;
 * turnover snapshots: ``personal_account_id, day, credit_amount, debit_amount,
   credit_operations_count, debit_operations_count`` - cumulative within a day,
@@ -30,7 +30,7 @@ MEASURES = (
 )
 BALANCE_COLUMNS = (
     "personal_account_id",
-    "wbuser_id",
+    "holder_id",
     "day",
     "balance_by_day",
     "balance",
@@ -44,7 +44,7 @@ AMOUNT = T.DecimalType(18, 2)
 BALANCE_SCHEMA = T.StructType(
     [
         T.StructField("personal_account_id", T.LongType()),
-        T.StructField("wbuser_id", T.LongType()),
+        T.StructField("holder_id", T.LongType()),
         T.StructField("day", T.DateType()),
         T.StructField("balance_by_day", AMOUNT),
         T.StructField("balance", T.DecimalType(28, 2)),
@@ -102,7 +102,7 @@ def open_versions(versions: DataFrame, day: date | str) -> DataFrame:
 def active_accounts(versions: DataFrame, day: date | str) -> DataFrame:
     """Accounts open on the day with the user of their latest version."""
     return open_versions(versions, day).groupBy(KEY).agg(
-        latest("wbuser_id", "ch_processed_at").alias("wbuser_id")
+        latest("holder_id", "ch_processed_at").alias("holder_id")
     )
 
 
@@ -110,7 +110,7 @@ def latest_version(versions: DataFrame) -> DataFrame:
     """Wallet and user of the latest version of every account."""
     return versions.groupBy(KEY).agg(
         latest("wallet_id", "ch_processed_at").alias("wallet_id"),
-        latest("wbuser_id", "ch_processed_at").alias("wbuser_id"),
+        latest("holder_id", "ch_processed_at").alias("holder_id"),
     )
 
 
@@ -183,7 +183,7 @@ def daily_balance(
     return _cast_result(
         joined.select(
             KEY,
-            "wbuser_id",
+            "holder_id",
             _day(day).alias("day"),
             F.coalesce("balance_by_day", zero).alias("balance_by_day"),
             (F.coalesce("last_balance", zero) + F.coalesce("balance_by_day", zero)).alias("balance"),
@@ -269,7 +269,7 @@ def backfill(
             F.greatest(F.to_date("open_dt"), low).alias("from_day"),
             F.least(F.coalesce(F.to_date("close_dt"), high), high).alias("to_day"),
             F.lit(True).alias("is_version"),
-            F.struct("ch_processed_at", "wbuser_id").alias("version"),
+            F.struct("ch_processed_at", "holder_id").alias("version"),
             *[F.lit(None).cast(BALANCE_SCHEMA[m].dataType).alias(m) for m in MEASURES],
             F.lit(None).cast("decimal(28,2)").alias("opening"),
         )
@@ -326,7 +326,7 @@ def backfill(
         .withColumn("balance", F.sum(change).over(island))
         .select(
             KEY,
-            F.col("version.wbuser_id").alias("wbuser_id"),
+            F.col("version.holder_id").alias("holder_id"),
             "day",
             "balance_by_day",
             "balance",
