@@ -155,7 +155,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, trees: int = 20, depth:
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").where(may_learn(F.col("doc_id")))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    lexicon = learn_lexicon(plain.join(known, "doc_id").select("text", "toxic"))
+    lexicon = learn_lexicon(plain.where(may_learn(F.col("doc_id"))).join(known, "doc_id").select("text", "toxic"))
     measured = stored(with_features(plain, lexicon), "toxicity-features")
 
     rows = measured.join(known, "doc_id").select("x", F.col("toxic").cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates"))
