@@ -114,11 +114,15 @@ def malformed_line(names: list[str], separator: str) -> Column:
     with bytes that are no text in the chosen encoding.  Short lines are fine.
     """
     raw = F.col(BAD_LINE)
+    quoted = F.contains(raw, F.lit('"'))
     bare = F.regexp_replace(raw, r'"[^"]*"', "")
     opens = bare.startswith('"') | F.contains(bare, F.lit(separator + '"'))
     damaged = F.contains(raw, F.lit("\ufffd"))
     one_more = _rewritten([_cell(n) for n in (*names, _EXTRA)], separator)
-    return F.when(raw.isNull(), one_more).when((field_count(raw, separator) > len(names)) | opens | damaged, raw)
+    # Patterns are only needed where there are quotes.
+    wide = F.when(quoted, field_count(raw, separator) > len(names)).otherwise(_separators(raw, separator) >= len(names))
+    bad = F.when(quoted, opens | damaged | wide).otherwise(wide | damaged)
+    return F.when(raw.isNull(), one_more).when(bad, raw)
 
 
 def read_text_table(
@@ -157,11 +161,14 @@ def read_text_table(
     return spread(marked) if spread_rows else marked
 
 
+def _separators(line: Column, separator: str) -> Column:
+    removed = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(separator), F.lit("")))
+    return (removed / len(separator.encode())).cast("int")
+
+
 def field_count(line: Column, separator: str) -> Column:
     """Fields of a raw line; separators inside quotes do not count."""
-    bare = F.regexp_replace(line, r'"[^"]*"', "")
-    removed = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
-    return (removed / len(separator) + 1).cast("int")
+    return _separators(F.regexp_replace(line, r'"[^"]*"', ""), separator) + 1
 
 
 def bad_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
