@@ -164,6 +164,26 @@ def test_decontamination_agrees_with_brute_force(spark):
     assert D.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_widespread_items_are_found(spark):
+    rng = random.Random(7)
+    rows = [r.text.split()[:200] for r in documents(spark).limit(120).collect() if r.text]
+    item = "which seven rivers of the old northern province meet below the ruined bridge at harvest"
+    split = item.split()
+    bench = spark.createDataFrame([(1, item), (2, "quite another item of words that nobody ever copied anywhere")], "item_id long, text string")
+    # A third of the rows are exact copies, some others hold the item among other words.
+    copy = " ".join(rows[0] + split + rows[1])
+    table = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(1000 + i, copy) for i in range(len(rows) // 2)]
+    for i in range(20):
+        at = rng.randrange(len(rows[i]))
+        table.append((2000 + i, " ".join(rows[i][:at] + split + rows[i][at:])))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    want = {(i, 1) for i, _ in table if i >= 1000}
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == want
+    assert {r.doc_id for r in D.without_contaminated(docs, bench).collect()} == set(range(len(rows)))
+    few = docs.where("doc_id between 2000 and 2002")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(few, bench).collect()} == {(2000 + i, 1) for i in range(3)}
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
