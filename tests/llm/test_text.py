@@ -184,6 +184,51 @@ def test_widespread_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(few, bench).collect()} == {(2000 + i, 1) for i in range(3)}
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_truncated_items_are_found(spark):
+    def split(text):
+        return "".join(c if not c.isascii() or c.isalnum() else " " for c in text.lower()).split()
+
+    rows = [r.text.split()[:60] for r in documents(spark).limit(30).collect() if r.text]
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").limit(20)
+    items = [(r.item_id, split(r.text)) for r in bench.collect()]
+    table = []
+    for i, (item_id, item) in enumerate(items):
+        n = len(item)
+        for k, share in enumerate((0.5, 0.62, 0.7, 0.8, 0.9)):
+            size = -int(-n * share // 1)
+            for last, part in enumerate((item[:size], item[n - size :])):
+                around = rows[(3 * i + k) % len(rows)]
+                table.append((item_id * 100 + 10 * last + k, " ".join(around[:30] + part + around[30:])))
+    want = set()
+    for doc_id, text in table:
+        have = split(text)
+        for item_id, item in items:
+            size = len(item) + len(item) // 2
+            if len(set(have) & set(item)) < 0.3 * len(set(item)):
+                continue
+            if any(longest_common(have[a : a + size], item) >= 0.6 * len(item) for a in range(0, max(1, len(have) - size + 1), 3)):
+                want.add((doc_id, item_id))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = D.contaminated(docs, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert {(i * 100 + 10 * last + k, i) for i, _ in items for last in (0, 1) for k in (1, 2, 3, 4)} <= want
+    assert got == want and all(r.answer is None for r in found)
+    # An answer that is given must be there.
+    told = bench.selectExpr("item_id", "text", "substring_index(text, ' ', -5) as answer")
+    answered = {(r.doc_id, r.item_id) for r in D.contaminated(docs, told, "answer").collect()}
+    assert answered < got and {(i * 100 + 10 + k, i) for i, _ in items for k in (1, 2, 3, 4)} <= answered
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
