@@ -229,6 +229,25 @@ def test_truncated_items_are_found(spark):
     assert answered < got and {(i * 100 + 10 + k, i) for i, _ in items for k in (1, 2, 3, 4)} <= answered
 
 
+def test_items_of_null_and_repeated_keys(spark):
+    texts = [
+        "which seven rivers meet below the ruined bridge at harvest time",
+        "name every green planet that a slow comet passed before dawn",
+        "how many copper coins did four tired sailors hide under sand",
+        "why would cold iron ring louder than warm glass in winter",
+    ]
+    bench = spark.createDataFrame(list(zip((5, 5, None, None), texts, strict=True)), "item_id long, text string")
+    rows = [r.text.split()[:80] for r in documents(spark).limit(20).collect() if r.text]
+    table = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    table += [(100 + i, " ".join(rows[i] + text.split() + rows[i + 1])) for i, text in enumerate(texts)]
+    # One task finds the texts of one key one after the other.
+    table += [(200, f"{texts[0]} {' '.join(rows[0])} {texts[1]}"), (None, texts[2])]
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    want = Counter([(100, 5), (101, 5), (102, None), (103, None), (200, 5), (200, 5), (None, None)])
+    assert Counter((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()) == want
+    assert sorted(r.doc_id for r in D.without_contaminated(docs, bench).collect()) == list(range(len(rows)))
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
