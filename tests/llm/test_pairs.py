@@ -169,6 +169,18 @@ def test_only_what_few_own_is_added(spark):
     assert added[4] == 1 and not any(added[100 + i] for i in range(8))
 
 
+def test_one_owner_may_hold_a_value_anywhere(spark):
+    own, spread, few = "Hb7kQ2vLm9Xp4RtYw8BnZc", "Jd5sT8wNq3Ye6UvKx1ApMf", "Gr4eW9yBv2Ci7LoSz5DhPt"
+    rows = [(i, f"call {i} auth: {own} now", "en", "one", 1) for i in range(30)]
+    rows += [(100 + i, f"call {i} auth: {spread} now", "en", f"s{i % 2}", 1) for i in range(30)]
+    rows += [(200 + i, f"call {i} auth: {few} now", "en", f"s{i % 2}", 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r[0]: int(not 100 <= r[0] < 200) for r in rows}
+    assert {r.doc_id: r.added for r in scan(docs).collect()} == want
+    out = {r.doc_id: r.text for r in redact_documents(docs).collect()}
+    assert {k: int("auth: [SECRET] now" in text) for k, text in out.items()} == want
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = spark.createDataFrame(secret_rows(10**6)[:-1], "doc_id long, text string, lang string, source string, n_chars long")
     docs = documents(spark).unionByName(rows, allowMissingColumns=True)

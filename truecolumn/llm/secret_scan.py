@@ -4,7 +4,8 @@ Base spans come from three fixed patterns.  Further candidates (well-known token
 prefixes, more key names, passwords in addresses, long random-looking strings)
 are kept only if the corpus says that they belong to somebody: the hash of each
 candidate value is counted over distinct repositories and owners.  What many
-owners or repositories hold is a copied example; what few hold looks live.
+owners hold, or several in many repositories, is a copied example; what few hold
+looks live, and so does what one owner holds, in however many repositories.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from truecolumn.llm.common import arrow_batches, stored
 
 #: Kinds in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "owned")
-#: A value of more owners or repositories than these is an example.
+#: A value of more owners is an example; so is one of several owners in more repositories.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 #: Bits per character below which a value is no random key.
 LEAST_ENTROPY = 3.2
@@ -123,11 +124,11 @@ def _exploded(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def live_values(exploded: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
-    """Hashes ``h`` that few owners and repositories hold; counts are exact and combined before each shuffle."""
+    """Hashes ``h`` that one owner, or few in few repositories hold; counts are exact and combined before each shuffle."""
     by_repository = exploded.groupBy("h", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("h", "owner").agg(F.count("*").alias("repositories"))
     holders = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    few = (F.col("owners") <= max_owners) & ((F.col("owners") == 1) | (F.col("repositories") <= max_repositories))
     return holders.where(few).select("h")
 
 
