@@ -1,17 +1,16 @@
-"""Repeated passages by relative Lempel-Ziv parsing against all documents.
+"""Repeated passages by counts of word windows over all documents.
 
-Every document is a reference block of every other one (and of itself).
+This stands in for a relative Lempel-Ziv parse: no reference text or position is kept.
 
 * Index: of each window of ``WINDOW`` words the smallest hash among its
   ``ANCHOR``-word grams is the anchor.  Equal windows have equal anchors at
   equal offsets, so a window can only repeat where its anchor does.
 * Look-up: windows whose anchor occurs twice or more anywhere are compared by
   the hash of all their words, again over all documents.
-* Parse: a text is read greedily from the left.  A factor begins at the first
-  window that some reference block holds and grows by a word as long as the next
-  window is held too; a factor shorter than a window cannot arise.  Windows that
-  straddle the border of two factors were looked up on their own, so nothing is
-  missed there.  Words of factors are duplicates, the others are literals.
+* Factors: runs of windows that each occur twice or more.  Every window is looked
+  up on its own, so no border hides one; but the windows of a factor may repeat in
+  different texts, and then no other text holds the whole factor.  Words of factors
+  are duplicates, the others are literals.
 
 Rows with the same text are one text with several occurrences.  Texts travel
 twice: all of them once, to meet their repeated anchors; the few that have some
@@ -117,7 +116,7 @@ def _windows(window: int):
 
 
 def parse(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Factors ``(first word, length)`` of a text whose windows at ``starts`` are held by some block."""
+    """Factors ``(first word, length)`` of a text whose windows at ``starts`` repeat somewhere."""
     starts = np.unique(starts)
     if not len(starts):
         return []
