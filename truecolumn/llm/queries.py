@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from truecolumn.llm import turns
+from truecolumn.llm.additive import score_quality
 from truecolumn.llm.arc import converted_pages
 from truecolumn.llm.bpe import token_digests
 from truecolumn.llm.common import table
@@ -12,6 +14,7 @@ from truecolumn.llm.decontaminate import contaminated
 from truecolumn.llm.language import language_of_documents
 from truecolumn.llm.near_dup import near_duplicates
 from truecolumn.llm.packing import pack, token_ids
+from truecolumn.llm.periods import run_digests
 from truecolumn.llm.quality import quality_of_documents
 from truecolumn.llm.secret_scan import secret_digests
 from truecolumn.llm.substrings import removed_words
@@ -60,6 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dup": op1_minhash_near_dup,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packed_ids": op9_packed_ids,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_conversation_repair": turns.SQL}
