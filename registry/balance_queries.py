@@ -110,10 +110,12 @@ def left_any_join(spark, sf):
 
 
 def day_list(spark, sf):
-    span = I.table(spark, sf, "events").agg(
-        F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day")
-    )
-    return span.select(F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    """Every day between the first and the last event, with its number of events."""
+    events = I.table(spark, sf, "events").select(F.to_date("ts").alias("day"))
+    span = events.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    days = B.day_list(spark, span["first"], (span["last"] - span["first"]).days + 1)
+    counts = events.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 def id_ranges(spark, sf):
@@ -191,8 +193,9 @@ FROM customer c
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) AS n
            FROM orders) o ON o.o_custkey = c.c_custkey AND o.n = 1""",
     "day_list": """
-SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS day
-FROM events""",
+SELECT d.day, count(e.ts) AS events FROM (
+  SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM events) AS d
+LEFT JOIN events AS e ON CAST(e.ts AS DATE) = d.day GROUP BY d.day""",
     "id_ranges": f"""
 WITH versions AS ({_V}),
 b AS (SELECT max(personal_account_id) + 1 AS e,

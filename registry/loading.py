@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from registry import balance_queries as BQ
@@ -14,6 +15,7 @@ from truecolumn.functions.convert import integral_text
 from truecolumn.operators import blocks as B
 from truecolumn.operators import load_plan as L
 from truecolumn.operators import validate as V
+from truecolumn.operators.load_plan import BAD_LINE
 from truecolumn.plans.mapping import ColumnMapping
 from truecolumn.session import scratch_path
 from truecolumn.sinks import balance_table, load_runs
@@ -288,10 +290,15 @@ def validate_full(spark, sf):
     return V.validate(M.messy(spark, sf), _mappings(_ALL), B.DEFAULT_BLOCK_BYTES).drop("max_line_bytes")
 
 
+#: Fewer rows than any of the given tables has.
+_LEADING = 1000
+
+
 def validate_sample(spark, sf):
-    table = M.messy(spark, sf)
-    limit = V.DEFAULT_SAMPLE_ROWS
-    return V.validate(table, _mappings(_ALL), B.DEFAULT_BLOCK_BYTES, limit).select("rows_total", "oversize_lines")
+    """The first rows of a file, in file order."""
+    path = _csv_copy(spark, M.messy(spark, sf).withColumn("_k", F.col("order_key").cast("bigint")).orderBy("_k").drop("_k"))
+    table = C.leading_rows(spark, path, _LEADING)
+    return V.validate(table, _mappings(_ALL), B.DEFAULT_BLOCK_BYTES).drop("max_line_bytes")
 
 
 def clean_value(spark, sf):
@@ -461,6 +468,56 @@ def csv_unclosed_quotes(spark, sf):
     return C.bad_rows(spark, path).select("line")
 
 
+#: Cells with inch marks, doubled quotes and line breaks; every 53rd line has a field too many behind a stray quote.
+_AWKWARD = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || '" pipe' WHEN 1 THEN 'say "' || o_orderstatus || '", then go'
+         WHEN 2 THEN o_orderpriority || chr(10) || o_orderstatus || chr(13) || chr(10) || 'end' ELSE o_orderstatus END AS note
+FROM orders"""
+
+
+def _awkward_lines(spark, sf):
+    """The awkward cells as text: only cells that begin with a quote or hold a separator or a line break are quoted."""
+    rows = I._over(spark, sf, "orders", _AWKWARD)
+    needs = F.col("note").rlike('^"|[,\\n]')
+    cell = F.when(needs, F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("note"))
+    line = F.concat_ws(",", F.col("o_orderkey"), cell, F.when(F.col("o_orderkey") % 53 == 0, F.lit('6" d')))
+    text = rows.orderBy("o_orderkey").select(line.alias("value"))
+    path = scratch_path(spark, "csv")
+    # A header for every file; lines are written as they stand.
+    text.mapInPandas(_with_header, "value string").write.text(path)
+    return path
+
+
+def _with_header(batches):
+    yield pd.DataFrame({"value": ["order_key,note"]})
+    yield from batches
+
+
+def csv_quoted_records(spark, sf):
+    """Inch marks, doubled quotes and line breaks in cells, read in parallel with row numbers; lines with a field too many are set aside."""
+    path = _awkward_lines(spark, sf)
+    table = C.read_text_table(spark, path, C.ReadOptions(multi_line=True), watch_width=True, numbered=True)
+    bad = F.col(BAD_LINE).isNotNull()
+    return table.select(
+        F.when(~bad, F.col("order_key")).alias("order_key"), F.when(~bad, F.col("note")).alias("note"),
+        F.col(C.ROW).alias("row_number"), F.when(bad, F.col(BAD_LINE)).alias("refused"),
+    )
+
+
+def first_bad_row(spark, sf):
+    """The first refused value of each column of a file, by its place in the file."""
+    path = _csv_copy(spark, M.messy(spark, sf).withColumn("_k", F.col("order_key").cast("bigint")).orderBy("_k").drop("_k"))
+    table = C.read_text_table(spark, path, numbered=True)
+    return V.first_bad_value(table, _mappings(_ALL), C.ROW)
+
+
+def sniffed_table(spark, sf):
+    """A table read with the separator found in it."""
+    path = _csv_copy(spark, I._over(spark, sf, "customer", _TRICKY), sep=";")
+    separator = C.sniff_separator(spark, path)
+    return C.read_text_table(spark, path, C.ReadOptions(separator)).withColumn("separator", F.lit(separator))
+
+
 def csv_undecodable(spark, sf):
     """Lines with bytes that are no UTF-8, found."""
     lines = I._over(spark, sf, "orders", _CYRILLIC).where("o_orderkey % 5 < 2")
@@ -495,7 +552,7 @@ QUERIES = {
             first_bad_value, validate_full, validate_sample, clean_value, json_rows, pack_blocks,
             load_summary, oversize_rows, export_json_gzip, load_table, load_partitioned,
             shard_assignment, replace_day, run_ratios, csv_quoted_newlines, csv_unclosed_quotes,
-            csv_undecodable, load_refuses_bad_lines,
+            csv_undecodable, load_refuses_bad_lines, csv_quoted_records, first_bad_row, sniffed_table,
         )
     },
     **{name: _converter(columns) for name, columns in CONVERSIONS.items()},
@@ -555,8 +612,9 @@ SELECT count(*) AS rows_total, count(*) FILTER (WHERE refused > 0) AS rows_refus
        CAST(sum(refused) AS BIGINT) AS cells_refused, CAST(0 AS BIGINT) AS oversize_lines
 FROM (SELECT {_refused_sql(_ALL)} AS refused FROM orders)""",
     "validate_sample": f"""
-SELECT count(*) AS rows_total, CAST(0 AS BIGINT) AS oversize_lines
-FROM (SELECT 1 FROM orders LIMIT {V.DEFAULT_SAMPLE_ROWS})""",
+SELECT count(*) AS rows_total, count(*) FILTER (WHERE refused > 0) AS rows_refused,
+       CAST(sum(refused) AS BIGINT) AS cells_refused, CAST(0 AS BIGINT) AS oversize_lines
+FROM (SELECT {_refused_sql(_ALL)} AS refused FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {_LEADING}))""",
     "clean_value": """
 SELECT l_orderkey, l_linenumber,
   CASE WHEN l_quantity = floor(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS STRING)
@@ -596,6 +654,20 @@ SELECT target, 'ok' AS outcome, count(*) AS rows,
 FROM orders, (VALUES ('first'), ('second')) t(target) GROUP BY target""",
     "csv_quoted_newlines": "SELECT CAST(doc_id AS VARCHAR) AS id, length(text) AS chars, md5(text) AS digest FROM documents",
     "csv_unclosed_quotes": """SELECT o_orderkey || ',"' || o_orderpriority AS line FROM orders WHERE o_orderkey % 37 = 0""",
+    "csv_quoted_records": f"""
+SELECT CASE WHEN NOT bad THEN CAST(o_orderkey AS VARCHAR) END AS order_key, CASE WHEN NOT bad THEN note END AS note,
+  row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number,
+  CASE WHEN bad THEN o_orderkey || ',' ||
+    CASE WHEN regexp_matches(note, '^"|[,\\n]') THEN '"' || replace(note, '"', '""') || '"' ELSE note END || ',6" d' END AS refused
+FROM (SELECT *, o_orderkey % 53 = 0 AS bad FROM ({_AWKWARD}))""",
+    "first_bad_row": f"""
+SELECT source, min(row_id) AS row_id, f.value AS value, f.type AS type, f.reason AS reason
+FROM (SELECT source, n AS row_id, first_value({{'value': value, 'type': type, 'reason': reason}})
+             OVER (PARTITION BY source ORDER BY n, value, type, reason) AS f
+      FROM ({_REFUSED_CELLS})
+      JOIN (SELECT {_K} AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) ON key = row_id)
+GROUP BY source, f""",
+    "sniffed_table": f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, label, quoted, ';' AS separator FROM ({_TRICKY})",
     "csv_undecodable": "SELECT CAST(o_orderkey AS VARCHAR) AS order_key FROM orders WHERE o_orderkey % 5 = 0",
     "load_refuses_bad_lines": "SELECT 'failed' AS outcome, 'not_created' AS fate, CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS tables",
     "shard_assignment": "SELECT count(*) AS rows_total, true AS even FROM orders",

@@ -13,7 +13,8 @@ from truecolumn.functions import text_rules as R
 from truecolumn.operators import infer as N
 from truecolumn.operators import profile as P
 from truecolumn.plans import decide as D
-from truecolumn.session import spread
+from truecolumn.session import scratch_path, spread
+from truecolumn.sources import csv_text as C
 
 _D = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 _K = "CAST(o_orderkey AS STRING)"
@@ -286,13 +287,17 @@ def profile_samples(spark, sf):
     )
 
 
+#: Fewer rows than any of the given tables has.
+LEADING = 400
+
+
 def profile_sample_vs_full(spark, sf):
-    """Types drawn from leading rows next to those of the whole table."""
-    table = messy(spark, sf)
-    full = N.infer_types(table).select("column_name", F.col("final_type").alias("full_type"))
-    head = N.infer_types(table.limit(N.DEFAULT_SAMPLE_ROWS)).select(
-        "column_name", F.col("final_type").alias("sample_type")
-    )
+    """Types drawn from the leading rows of a file next to those of the whole file."""
+    path = scratch_path(spark, "csv")
+    rows = messy(spark, sf).withColumn("_k", F.col("order_key").cast("bigint")).orderBy("_k").drop("_k")
+    rows.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    full = N.infer_types(C.read_text_table(spark, path)).select("column_name", F.col("final_type").alias("full_type"))
+    head = N.infer_types(C.leading_rows(spark, path, LEADING)).select("column_name", F.col("final_type").alias("sample_type"))
     return full.join(head, "column_name").withColumn(
         "same", F.col("full_type") == F.col("sample_type")
     )
@@ -362,10 +367,10 @@ def normalize_identifier(spark, sf):
 
 
 def normalize_header(spark, sf):
-    """Distinct first words of the documents as header cells."""
+    """Distinct lines of the documents as header cells."""
     docs = I.table(spark, sf, "documents")
-    cell = F.concat(F.lit("  "), F.substring_index(R.strip(F.col("text")), " ", 2), F.lit("\t"))
-    return docs.select(cell.alias("cell")).distinct().select(
+    line = F.explode(F.split(F.col("text"), "\n"))
+    return docs.select(line.alias("line")).select(F.concat(F.lit("  "), "line", F.lit("\t")).alias("cell")).distinct().select(
         "cell", R.strip(F.col("cell")).alias("trimmed"), R.identifier(F.col("cell")).alias("name")
     )
 
@@ -428,14 +433,16 @@ def _occurrences_sql(text: str) -> str:
 
 
 _TS = "try_cast({d} || ' ' || regexp_replace({c}, '(\\.[0-9]{{6}})[0-9]*$', '\\1') AS TIMESTAMP)"
-_HEADER_CELL = (
-    "'  ' || array_to_string(string_split(trim(text, " + quoted(R.WHITESPACE) + "), ' ')[1:2], ' ') || chr(9)"
-)
+_HEADER_CELL = "'  ' || unnest(string_split(text, chr(10))) || chr(9)"
+_LEADING_PROFILE = PROFILE_SQL.replace("FROM orders", f"FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {LEADING})")
 
 SQL = {
     "profile_columns": PROFILE_SQL,
     "profile_merged": PROFILE_SQL,
     "infer_types": f"SELECT column_name, inferred_type, nullable, final_type FROM ({_decide_sql(PROFILE_SQL)})",
+    "profile_sample_vs_full": f"""
+SELECT column_name, a.final_type AS full_type, b.final_type AS sample_type, a.final_type = b.final_type AS same
+FROM ({_decide_sql(PROFILE_SQL)}) AS a JOIN ({_decide_sql(_LEADING_PROFILE)}) AS b USING (column_name)""",
     "infer_notes": _notes_sql(),
     "profile_samples": f"""
 SELECT column_name, s AS sample FROM (

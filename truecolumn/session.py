@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Undecodable bytes become replacement characters, which the readers look for.
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 

@@ -13,6 +13,8 @@ from truecolumn.functions import text_rules as R
 from truecolumn.operators.load_plan import BAD_LINE
 from truecolumn.plans.header import trimmed_names
 from truecolumn.session import spread
+from truecolumn.sources import quotes as Q
+from truecolumn.sources.records import has_byte_lines, read_records
 
 # What a user may choose from; other choices may be typed in.
 SEPARATORS: tuple[str, ...] = (",", ";", "\t", "|")
@@ -20,6 +22,9 @@ ENCODINGS: tuple[str, ...] = ("utf_8", "utf-8-sig", "cp1251", "windows-1251")
 SNIFF_CHARACTERS = 8192
 _EXTRA = "_field_beyond_the_header"
 PREVIEW_ROWS = 20
+#: Columns of numbered tables: the file, the first line of the row in it (from 1), and the
+#: row's number over all files in order of their paths (from 0).
+FILE, LINE, ROW = "_file", "_line", "_row"
 
 # Spark wants charset names, and drops a byte order mark by itself.
 _CHARSETS = {
@@ -114,15 +119,26 @@ def malformed_line(names: list[str], separator: str) -> Column:
     with bytes that are no text in the chosen encoding.  Short lines are fine.
     """
     raw = F.col(BAD_LINE)
-    quoted = F.contains(raw, F.lit('"'))
-    bare = F.regexp_replace(raw, r'"[^"]*"', "")
-    opens = bare.startswith('"') | F.contains(bare, F.lit(separator + '"'))
-    damaged = F.contains(raw, F.lit("\ufffd"))
     one_more = _rewritten([_cell(n) for n in (*names, _EXTRA)], separator)
+    return F.when(raw.isNull(), one_more).when(_malformed(raw, len(names), separator), raw)
+
+
+def _malformed(text: Column, width: int, separator: str) -> Column:
+    """Whether a whole record has too many fields, an open quote or damaged characters."""
+    wide = Q.separators(text, separator) >= width
     # Patterns are only needed where there are quotes.
-    wide = F.when(quoted, field_count(raw, separator) > len(names)).otherwise(_separators(raw, separator) >= len(names))
-    bad = F.when(quoted, opens | damaged | wide).otherwise(wide | damaged)
-    return F.when(raw.isNull(), one_more).when(bad, raw)
+    quoted = Q.ends_inside(text, separator) | (wide & (Q.field_count(text, separator) > width))
+    return F.contains(text, F.lit("\ufffd")) | F.when(F.contains(text, F.lit('"')), quoted).otherwise(wide)
+
+
+def _from_records(spark: SparkSession, path: str, options: ReadOptions, names: list[str]) -> DataFrame:
+    """Cells under positional names, with the record's text and numbers."""
+    found = read_records(spark, path, options.charset, options.separator, options.multi_line)
+    schema = ", ".join(f"_{i} string" for i in range(len(names)))
+    settings = {k: str(v) for k, v in reader_options(options, False).items() if k in ("sep", "quote", "escape", "emptyValue", "mode")}
+    # Line ends inside quotes stay as they are written.
+    cells = F.from_csv("text", schema, {**settings, "multiLine": "true", "maxColumns": str(max(20480, 2 * len(names)))})
+    return found.select(F.col("file").alias(FILE), F.col("line").alias(LINE), F.col("row").alias(ROW), F.col("text").alias(BAD_LINE), cells.alias("_cells"))
 
 
 def read_text_table(
@@ -132,6 +148,7 @@ def read_text_table(
     columns: list[str] | None = None,
     watch_width: bool = False,
     spread_rows: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """Every cell as raw text, under trimmed header names.
 
@@ -141,13 +158,25 @@ def read_text_table(
     ``watch_width`` shows its text in ``_bad_line``, which conversion takes as a
     refused row.  Short lines are padded.  ``spread_rows`` distributes the rows
     of files that cannot be split, such as one large gzip file.
+
+    ``numbered`` adds the columns ``_file``, ``_line`` and ``_row``.  Numbered
+    rows, and cells with line breaks (``multi_line``), are read in parallel too
+    (see :mod:`truecolumn.sources.records`); only encodings whose line ends are
+    not single bytes leave such a file to one task.
     """
     names = header_names(spark, path, options)
     wanted = columns or names
     if missing := [c for c in wanted if c not in names]:
         raise SchemaError("source columns not found: " + ", ".join(missing))
-    lines = spark.read.options(**line_options(options)).schema(line_schema(names)).csv(path)
-    marked = lines.select(*[_cell(c).alias(c) for c in wanted], malformed_line(names, options.separator).alias(BAD_LINE))
+    if numbered or (options.multi_line and has_byte_lines(options.charset)):
+        records = _from_records(spark, path, options, names)
+        cells = [F.coalesce(F.col("_cells")[f"_{names.index(c)}"], F.lit("")).alias(c) for c in wanted]
+        numbers = [FILE, LINE, ROW] if numbered else []
+        bad = F.when(_malformed(F.col(BAD_LINE), len(names), options.separator), F.col(BAD_LINE))
+        marked = records.select(*numbers, *cells, bad.alias(BAD_LINE))
+    else:
+        lines = spark.read.options(**line_options(options)).schema(line_schema(names)).csv(path)
+        marked = lines.select(*[_cell(c).alias(c) for c in wanted], malformed_line(names, options.separator).alias(BAD_LINE))
     if not watch_width:
         message = F.concat(
             F.lit(
@@ -156,19 +185,18 @@ def read_text_table(
             ),
             F.left(BAD_LINE, F.lit(200)),
         )
+        if numbered:
+            message = F.concat(F.lit("line "), F.col(LINE), F.lit(" of "), F.col(FILE), F.lit(": "), message)
         fine = F.when(F.col(BAD_LINE).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
         marked = marked.where(fine).drop(BAD_LINE)
     return spread(marked) if spread_rows else marked
 
 
-def _separators(line: Column, separator: str) -> Column:
-    removed = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(separator), F.lit("")))
-    return (removed / len(separator.encode())).cast("int")
-
-
-def field_count(line: Column, separator: str) -> Column:
-    """Fields of a raw line; separators inside quotes do not count."""
-    return _separators(F.regexp_replace(line, r'"[^"]*"', ""), separator) + 1
+def leading_rows(
+    spark: SparkSession, path: str, rows: int, options: ReadOptions = ReadOptions(), watch_width: bool = False
+) -> DataFrame:
+    """The first ``rows`` rows in file order, the same ones at every run."""
+    return read_text_table(spark, path, options, watch_width=watch_width, numbered=True).where(F.col(ROW) < rows).drop(FILE, LINE, ROW)
 
 
 def bad_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
@@ -176,7 +204,7 @@ def bad_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions(
     table = read_text_table(spark, path, options, watch_width=True)
     return table.where(F.col(BAD_LINE).isNotNull()).select(
         F.col(BAD_LINE).alias("line"),
-        field_count(F.col(BAD_LINE), options.separator).alias("fields"),
+        Q.field_count(F.col(BAD_LINE), options.separator).alias("fields"),
     )
 
 
@@ -193,7 +221,7 @@ def require_regular(spark: SparkSession, path: str, options: ReadOptions = ReadO
 def preview(
     spark: SparkSession, path: str, options: ReadOptions = ReadOptions(), rows: int = PREVIEW_ROWS
 ) -> DataFrame:
-    """The first rows, malformed lines among them."""
+    """The first rows as they are read, malformed lines among them; ``leading_rows`` gives the first of the file for certain."""
     return read_text_table(spark, path, options, watch_width=True).drop(BAD_LINE).limit(rows)
 
 
@@ -201,15 +229,10 @@ def separator_counts(lines: DataFrame, separators: tuple[str, ...] = SEPARATORS)
     """Per candidate separator: fewest, most and mean occurrences in a line.
 
     ``lines`` has one text column ``value``.  All candidates are measured in
-    one pass; what is inside quotes does not count.
+    one pass; what is inside quoted cells does not count.
     """
-    bare = F.regexp_replace("value", r'"[^"]*"', "")
-    size = F.length("bare")
-    counts = [
-        (size - F.length(F.replace(F.col("bare"), F.lit(s), F.lit("")))).alias(f"n{i}")
-        for i, s in enumerate(separators)
-    ]
-    measured = lines.where("value <> ''").select(bare.alias("bare")).select(*counts)
+    counts = [(Q.field_count(F.col("value"), s) - 1).alias(f"n{i}") for i, s in enumerate(separators)]
+    measured = lines.where("value <> ''").select(*counts)
     folded = measured.agg(
         *[
             F.struct(
