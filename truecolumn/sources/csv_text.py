@@ -231,8 +231,8 @@ def separator_counts(lines: DataFrame, separators: tuple[str, ...] = SEPARATORS)
     ``lines`` has one text column ``value``.  All candidates are measured in
     one pass; what is inside quoted cells does not count.
     """
-    counts = [(Q.field_count(F.col("value"), s) - 1).alias(f"n{i}") for i, s in enumerate(separators)]
-    measured = lines.where("value <> ''").select(*counts)
+    bare = lines.where("value <> ''").select(Q.without_quoted(F.col("value"), *separators).alias("bare"))
+    measured = bare.select(*[Q.separators(F.col("bare"), s).alias(f"n{i}") for i, s in enumerate(separators)])
     folded = measured.agg(
         *[
             F.struct(

@@ -18,15 +18,18 @@ CLOSES, SWAPS, KEEPS, OPENS = 0, 1, 2, 3
 EMPTY = 4
 
 
-def _quoted_cell(separator: str) -> str:
+def _quoted_cell(separators: tuple[str, ...]) -> str:
     # A cell's next part begins where the last one ended: that is a doubled quote.
-    literal = "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    literal = "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in separators)
     return rf'((?:^|{literal})|\G(?!^))"[^"]*+"'
 
 
-def without_quoted(line: Column, separator: str) -> Column:
-    """The line without its closed quoted cells; separators between fields stay."""
-    return F.regexp_replace(line, F.lit(_quoted_cell(separator)), F.lit("$1"))
+def without_quoted(line: Column, *separators: str) -> Column:
+    """The line without its closed quoted cells; separators between fields stay.
+
+    With several separators a quote behind any of them opens a cell.
+    """
+    return F.regexp_replace(line, F.lit(_quoted_cell(separators)), F.lit("$1"))
 
 
 def _open(bare: Column, separator: str) -> Column:
