@@ -4,20 +4,21 @@ A conversion gives a value, or null for a cell it refuses; the reason of a
 refusal is worked out only for refused cells.  Nothing is ever rounded,
 truncated to fit, or read as something else than its text says.
 
-Every rule has a common spelling in front that one pattern settles; the full
-rule behind it is evaluated only for the other spellings.
+Every column has a little code of its own that settles its type's common
+spelling by one pattern.  Other spellings are gathered in one array per type
+family and converted there by one kernel, so the code of a wide table stays
+small enough to compile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from truecolumn.functions import text_rules as R
 from truecolumn.plans.decide import DATE32_MAX, DATE32_MIN, DATE_MAX, DATE_MIN
 from truecolumn.plans.type_text import LogicalType
 
-Step = dict[str, Column]
 _DECIMAL_38 = "decimal(38,0)"
 
 
@@ -55,89 +56,193 @@ def _bounds(kind: LogicalType) -> tuple[int, int]:
     return 0, 2**kind.bits - 1
 
 
-def _exact(number: int) -> Column:
-    return F.lit(str(number)).cast(_DECIMAL_38)
+def _date_bounds(kind: LogicalType) -> tuple[str, str]:
+    return (DATE_MIN, DATE_MAX) if kind.base == "Date" else (DATE32_MIN, DATE32_MAX)
 
 
-def _trailing_zeros(digits: Column) -> Column:
-    return F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+def is_wide(kind: LogicalType) -> bool:
+    """Numbers no Spark type holds; they stay validated text."""
+    return (kind.kind == "decimal" and kind.precision > 38) or (
+        kind.kind == "integer" and kind.bits > 64
+    )
 
 
-def _is_whole(parts: dict[str, Column]) -> Column:
-    """``1.0`` and ``1e3`` are whole, ``1.7`` is not."""
-    digits = parts["significant"]
-    return (digits == "") | (parts["exponent"] + _trailing_zeros(digits) >= 0)
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _integer(cell: Column, kind: LogicalType) -> Column:
+# --- common spellings: a little code for every column -------------------------
+#
+# As SQL text: a table has these for every column, and each is one call to the JVM.
+
+
+def _fast_integer(c: str, kind: LogicalType) -> str:
     low, high = _bounds(kind)
     # Eighteen digits always fit a long, so this cast cannot fail.
-    short = cell.rlike(r"^-?[0-9]{1,18}\z" if kind.signed else r"^[0-9]{1,18}\z")
-    number = cell.try_cast("bigint")
+    short, number = rf"{c} RLIKE r'^{'-?' if kind.signed else ''}[0-9]{{1,18}}\z'", f"try_cast({c} AS bigint)"
     if kind.bits < 64:
-        number = F.when(number.between(low, high), number)
-    whole = cell.rlike(R.DECIMAL_PATTERN) & _is_whole(R.decimal_parts(cell))
-    other = F.when(whole, cell.try_cast(_DECIMAL_38))
-    bounded = F.when(other.between(_exact(low), _exact(high)), other)
-    return F.when(short, number.cast(kind.storage)).otherwise(bounded.cast(kind.storage))
+        number = f"CASE WHEN {number} BETWEEN {low} AND {high} THEN {number} END"
+    return f"CASE WHEN {short} THEN CAST({number} AS {kind.storage.simpleString()}) END"
+
+
+def _fast_decimal(c: str, kind: LogicalType) -> str:
+    # Plain numbers with few enough digits on either side.
+    whole = max(kind.precision - kind.scale, 1)
+    places = rf"(\.[0-9]{{1,{kind.scale}}})?" if kind.scale else ""
+    return rf"CASE WHEN {c} RLIKE r'^-?[0-9]{{1,{whole}}}{places}\z' THEN try_cast({c} AS {kind.storage.simpleString()}) END"
+
+
+def _fast_float(c: str, kind: LogicalType) -> str:
+    # Adding zero turns -0.0 into 0.0; so few digits never overflow.
+    return rf"CASE WHEN length({c}) <= 300 AND {c} RLIKE r'^-?[0-9]+(\.[0-9]+)?\z' THEN try_cast({c} AS double) + 0.0D END"
+
+
+def _fast_date(c: str, kind: LogicalType) -> str:
+    # Dashed dates order like their text.
+    low, high = _date_bounds(kind)
+    return f"CASE WHEN length({c}) = 10 AND {c} BETWEEN '{low}' AND '{high}' AND {c} RLIKE r'{R.DATE_PATTERN}' THEN try_cast({c} AS date) END"
+
+
+def _fast_datetime(c: str, kind: LogicalType) -> str:
+    # The first nineteen characters are the date-time without its fraction.
+    return f"CASE WHEN {c} >= '0001' AND {c} RLIKE r'{R.PLAIN_TIMESTAMP_PATTERN}' THEN try_cast(substring({c}, 1, 19) AS timestamp_ntz) END"
+
+
+def _bool(c: str, kind: LogicalType) -> str:
+    return f"CASE WHEN lower({c}) IN ({_literals(R.TRUE_WORDS)}) THEN true WHEN lower({c}) IN ({_literals(R.FALSE_WORDS)}) THEN false END"
+
+
+_FAST = {
+    "integer": _fast_integer,
+    "decimal": _fast_decimal,
+    "float": _fast_float,
+    "date": _fast_date,
+    "datetime": _fast_datetime,
+}
+
+
+def _refused_at_once(c: str, kind: LogicalType) -> str:
+    """Cells in the common spelling whose value the type does not have: no kernel would take them."""
+    if kind.kind == "integer":
+        return rf"{c} RLIKE r'^{'-?' if kind.signed else ''}[0-9]{{1,18}}\z'"
+    if kind.kind == "date":
+        return f"(length({c}) = 10 AND {c} RLIKE r'{R.DATE_PATTERN}')"
+    if kind.kind == "datetime":
+        return f"({c} >= '0001' AND {c} RLIKE r'{R.PLAIN_TIMESTAMP_PATTERN}')"
+    return "false"
+
+
+def fast_value(prefix: str, kind: LogicalType) -> Column:
+    """The value of a cell in its common spelling; null leaves it to the family's kernel."""
+    cell = f"{prefix}_cell"
+    if is_wide(kind):
+        return F.expr("CAST(NULL AS string)")
+    if kind.kind == "bool":
+        return F.expr(_bool(cell, kind))
+    return F.expr(_FAST[kind.kind](cell, kind) if kind.kind in _FAST else cell)
+
+
+# --- other spellings: one kernel for all columns of a family ------------------
+#
+# A kernel takes elements ``struct(cell, ...)`` with the limits of the column's
+# type beside the cell, so its size does not grow with the number of columns.
+
+
+def family_of(kind: LogicalType) -> str | None:
+    """Whose kernel converts unusual spellings; None where there are none."""
+    if is_wide(kind):
+        return f"wide_{kind.kind}"
+    return kind.kind if kind.kind in _FAST else None
+
+
+def _limits(kind: LogicalType) -> dict[str, str]:
+    """What the family's kernel needs to know of the type."""
+    family = family_of(kind)
+    if family == "integer":
+        return {n: f"CAST('{v}' AS {_DECIMAL_38})" for n, v in zip(("low", "high"), _bounds(kind), strict=True)}
+    if family == "wide_integer":
+        return {n: f"'{abs(v)}'" for n, v in zip(("low", "high"), _bounds(kind), strict=True)}
+    if family in ("decimal", "wide_decimal"):
+        return {"precision": str(kind.precision), "scale": str(kind.scale)}
+    if family == "date":
+        return {n: f"DATE '{v}'" for n, v in zip(("low", "high"), _date_bounds(kind), strict=True)}
+    return {}
+
+
+def _each(items: Column, **steps) -> Column:
+    """Fields added to every element; each step sees those of the steps before."""
+
+    def adds(name, step):
+        return lambda x: x.withField(name, step(x))
 
+    for name, step in steps.items():
+        items = F.transform(items, adds(name, step))
+    return items
 
-def _fits(parts: dict[str, Column], precision: int, scale: int) -> Column:
+
+def _parts(x: Column) -> Column:
+    found = R.decimal_parts(x["text"])
+    return F.when(x["text"].isNotNull(), F.struct(*[found[n].alias(n) for n in ("negative", "digits", "significant", "exponent")]))
+
+
+def _trailing_zeros(digits: Column) -> Column:
+    return F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+
+
+def _is_whole(parts: Column) -> Column:
+    """``1.0`` and ``1e3`` are whole, ``1.7`` is not."""
+    digits = parts["significant"]
+    return (digits == "") | (parts["exponent"] + _trailing_zeros(digits) >= 0)
+
+
+def _fits(x: Column) -> Column:
     """The number has at most this many digits on either side of the point."""
-    digits, exponent = parts["significant"], parts["exponent"]
+    digits, exponent = x["parts"]["significant"], x["parts"]["exponent"]
     size = F.greatest(F.length(digits) + exponent, F.lit(0))
     places = F.greatest(-(exponent + _trailing_zeros(digits)), F.lit(0))
-    return (digits == "") | ((size <= precision - scale) & (places <= scale))
+    return (digits == "") | ((size <= x["precision"] - x["scale"]) & (places <= x["scale"]))
 
 
-def _decimal(cell: Column, kind: LogicalType) -> Column:
-    # Plain numbers with few enough digits on either side settle at once.
-    whole = max(kind.precision - kind.scale, 1)
-    places = rf"(\.[0-9]{{1,{kind.scale}}})?" if kind.scale else ""
-    plain = rf"^-?[0-9]{{1,{whole}}}{places}\z"
-    joined = F.replace(cell, F.lit("_"), F.lit(""))
-    fits = joined.rlike(R.DECIMAL_PATTERN) & _fits(
-        R.decimal_parts(joined), kind.precision, kind.scale
+def _integers(items: Column) -> Column:
+    items = _each(
+        items,
+        text=lambda x: F.when(x["cell"].rlike(R.DECIMAL_PATTERN), x["cell"]),
+        parts=_parts,
+        number=lambda x: F.when(_is_whole(x["parts"]), x["text"].try_cast(_DECIMAL_38)),
     )
-    return F.when(cell.rlike(plain), cell).when(fits, joined).try_cast(kind.storage)
+    return F.transform(items, lambda x: F.when(x["number"].between(x["low"], x["high"]), x["number"]))
 
 
-def _float(cell: Column, kind: LogicalType) -> Column:
-    readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
-    # Adding zero turns -0.0 into 0.0.
-    number = cell.try_cast("double") + F.lit(0.0)
-    may_overflow = R.has_exponent(cell) | (F.length(cell) > 300)
-    return F.when(readable, F.when(~may_overflow | (F.abs(number) < float("inf")), number))
+def _decimals(items: Column) -> Column:
+    # Text that its type holds exactly; the column casts it.
+    items = _each(items, text=lambda x: R.decimal_text_of(x["cell"]), parts=_parts)
+    return F.transform(items, lambda x: F.when(_fits(x), x["text"]))
 
 
-def _date_bounds(kind: LogicalType) -> tuple[str, str]:
-    return (DATE_MIN, DATE_MAX) if kind.base == "Date" else (DATE32_MIN, DATE32_MAX)
+def _floats(items: Column) -> Column:
+    def value(x: Column) -> Column:
+        cell = x["cell"]
+        number = cell.try_cast("double") + F.lit(0.0)
+        readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
+        return F.when(readable & (F.abs(number) < float("inf")), number)
 
+    return F.transform(items, value)
 
-def _date(cell: Column, kind: LogicalType) -> Column:
-    low, high = _date_bounds(kind)
-    dashed = (F.length(cell) == 10) & cell.rlike(R.DATE_PATTERN)
-    day = R.date_value(cell)
-    inside = F.when(day.between(F.lit(low).cast("date"), F.lit(high).cast("date")), day)
-    # Dashed dates order like their text.
-    return F.when(dashed, F.when(cell.between(low, high), cell.try_cast("date"))).otherwise(inside)
 
+def _dates(items: Column) -> Column:
+    items = _each(items, day=lambda x: R.date_value(x["cell"]))
+    return F.transform(items, lambda x: F.when(x["day"].between(x["low"], x["high"]), x["day"]))
 
-def _datetime(cell: Column, kind: LogicalType) -> Column:
-    plain = (cell >= "0001") & cell.rlike(R.PLAIN_TIMESTAMP_PATTERN)
-    other = F.when(~R.has_offset(cell), F.date_trunc("second", R.timestamp_value(cell)))
-    # The first nineteen characters are the date-time without its fraction.
-    return F.when(plain, F.substring(cell, 1, 19).try_cast("timestamp_ntz")).otherwise(
-        other.cast("timestamp_ntz")
-    )
 
+def _datetimes(items: Column) -> Column:
+    def value(x: Column) -> Column:
+        return F.when(~R.has_offset(x["cell"]), F.date_trunc("second", R.timestamp_value(x["cell"]))).cast("timestamp_ntz")
 
-def _bool(cell: Column, kind: LogicalType) -> Column:
-    word = F.lower(cell)
-    return F.when(word.isin(*R.TRUE_WORDS), True).when(word.isin(*R.FALSE_WORDS), False)
+    return F.transform(items, value)
 
 
-def _written_out(parts: dict[str, Column], shift: Column) -> Column:
+def _written_out(parts: Column, shift: Column) -> Column:
     """``digits * 10**shift`` without exponent, plus sign or leading zeros."""
     digits = parts["digits"]
     left = F.when(shift >= 0, F.concat(digits, F.repeat(F.lit("0"), shift))).otherwise(
@@ -155,116 +260,138 @@ def _written_out(parts: dict[str, Column], shift: Column) -> Column:
     return F.when(shift.isNotNull(), shown)
 
 
-def is_wide(kind: LogicalType) -> bool:
-    """Numbers no Spark type holds; they stay validated text."""
-    return (kind.kind == "decimal" and kind.precision > 38) or (
-        kind.kind == "integer" and kind.bits > 64
+def _shift(x: Column, fits: Column) -> Column:
+    # Zero may be written with any exponent; other numbers that fit have a small one.
+    parts = x["parts"]
+    zero = F.greatest(F.lit(-76), F.least(parts["exponent"], F.lit(0))).cast("int")
+    return F.when(parts["significant"] == "", zero).when(fits, parts["exponent"].try_cast("int"))
+
+
+def _wide_integers(items: Column) -> Column:
+    def fits(x: Column) -> Column:
+        parts = x["parts"]
+        return _is_whole(parts) & (F.length(parts["significant"]) + parts["exponent"] <= F.length(x["high"]))
+
+    items = _each(
+        items,
+        text=lambda x: F.when(~F.contains(x["cell"], F.lit("_")), R.decimal_text_of(x["cell"])),
+        parts=_parts,
+        shift=lambda x: _shift(x, fits(x)),
+        shown=lambda x: F.substring_index(_written_out(x["parts"], x["shift"]), ".", 1),
+        most=lambda x: F.when(x["shown"].startswith("-"), x["low"]).otherwise(x["high"]),
+        digits=lambda x: F.ltrim(x["shown"], F.lit("-")),
     )
 
+    def value(x: Column) -> Column:
+        shorter = F.length(x["digits"]) < F.length(x["most"])
+        same = (F.length(x["digits"]) == F.length(x["most"])) & (x["digits"] <= x["most"])
+        return F.when((x["most"] != "0") | (x["shown"] == "0"), F.when(shorter | same, x["shown"]))
 
-def wide_steps(prefix: str, kind: LogicalType) -> list[Step]:
-    """Steps from ``<prefix>_cell`` to ``<prefix>_wide``, one projection each.
+    return F.transform(items, value)
 
-    The digits are checked and written out as text.  Each step uses columns of
-    the one before, so the expressions stay small.
-    """
-    cell = F.col(f"{prefix}_cell")
-    names = ("negative", "digits", "significant", "exponent")
-    parts = {n: F.col(f"{prefix}_{n}") for n in names}
-    shift, shown = F.col(f"{prefix}_shift"), F.col(f"{prefix}_shown")
-    found = R.decimal_parts(F.col(f"{prefix}_text"))
-    size = F.length(parts["significant"]) + parts["exponent"]
-    if kind.kind == "integer":
-        low, high = _bounds(kind)
-        text = F.when(~F.contains(cell, F.lit("_")), R.decimal_text_of(cell))
-        fits = _is_whole(parts) & (size <= len(str(high)))
-        digits = F.ltrim(shown, F.lit("-"))
-
-        def at_most(limit: int) -> Column:
-            longest = len(str(limit))
-            return (F.length(digits) < longest) | (
-                (F.length(digits) == longest) & (digits <= str(limit))
-            )
-
-        below = at_most(-low) if low else F.lit(False)
-        inside = F.when(shown.startswith("-"), below).otherwise(at_most(high))
-        written, result = F.substring_index(_written_out(parts, shift), ".", 1), F.when(inside, shown)
-    else:
-        text = R.decimal_text_of(cell)
-        fits = _fits(parts, kind.precision, kind.scale)
-        written, result = _written_out(parts, shift), shown
-    # Zero may be written with any exponent; other numbers that fit have a small one.
-    zero_shift = F.greatest(F.lit(-76), F.least(parts["exponent"], F.lit(0))).cast("int")
-    moved = F.when(parts["significant"] == "", zero_shift).when(
-        fits, parts["exponent"].try_cast("int")
+
+def _wide_decimals(items: Column) -> Column:
+    items = _each(
+        items,
+        text=lambda x: R.decimal_text_of(x["cell"]),
+        parts=_parts,
+        shift=lambda x: _shift(x, _fits(x)),
     )
-    return [
-        {f"{prefix}_text": text},
-        {f"{prefix}_{n}": found[n] for n in names},
-        {f"{prefix}_shift": moved},
-        {f"{prefix}_shown": written},
-        {f"{prefix}_wide": result},
+    return F.transform(items, lambda x: _written_out(x["parts"], x["shift"]))
+
+
+_KERNELS = {
+    "integer": _integers,
+    "decimal": _decimals,
+    "float": _floats,
+    "date": _dates,
+    "datetime": _datetimes,
+    "wide_integer": _wide_integers,
+    "wide_decimal": _wide_decimals,
+}
+
+
+def families(kinds: dict[str, LogicalType]) -> dict[str, list[str]]:
+    """Prefixes of the columns of each family."""
+    found: dict[str, list[str]] = {}
+    for prefix, kind in kinds.items():
+        if family := family_of(kind):
+            found.setdefault(family, []).append(prefix)
+    return found
+
+
+def open_cells(kinds: dict[str, LogicalType], prefixes: list[str]) -> Column:
+    """A family's cells that are not settled yet, with their limits, null for the others; null if there are none."""
+    unsettled = [
+        f"({p}_cell IS NOT NULL AND {p}_fast IS NULL"
+        + ("" if is_wide(kinds[p]) else f" AND NOT {_refused_at_once(f'{p}_cell', kinds[p])}")
+        + ")"
+        for p in prefixes
     ]
+    items = []
+    for u, p in zip(unsettled, prefixes, strict=True):
+        limits = "".join(f", '{n}', {v}" for n, v in _limits(kinds[p]).items())
+        items.append(f"CASE WHEN {u} THEN named_struct('cell', {p}_cell{limits}) END")
+    return F.expr(f"CASE WHEN {' OR '.join(unsettled)} THEN array({', '.join(items)}) END")
+
+
+def settled(family: str, items: Column) -> Column:
+    """Values of :func:`open_cells`, in the same order."""
+    return F.when(items.isNotNull(), _KERNELS[family](items))
 
 
-def value_of(prefix: str, kind: LogicalType) -> Column:
+def value_of(prefix: str, kind: LogicalType, place: int | None, family: str | None) -> Column:
     """Typed value of ``<prefix>_cell``; null where it is missing or refused."""
-    cell = F.col(f"{prefix}_cell")
-    if is_wide(kind):
-        return F.col(f"{prefix}_wide")
-    rules = {
-        "integer": _integer,
-        "decimal": _decimal,
-        "float": _float,
-        "date": _date,
-        "datetime": _datetime,
-        "bool": _bool,
-    }
-    rule = rules.get(kind.kind)
-    return rule(cell, kind) if rule else cell
-
-
-def reason_of(prefix: str, kind: LogicalType) -> Column:
-    """Why ``<prefix>_cell`` is refused, given that it is."""
-    cell = F.col(f"{prefix}_cell")
-    reason = F.lit("is refused")
-    if kind.kind == "integer":
-        reason = F.lit(f"does not fit {kind.base} or is not a whole number")
-    elif kind.kind == "decimal":
-        reason = F.lit(f"is not a number that {kind.base} holds exactly")
-    elif kind.kind == "float":
-        readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
-        reason = F.when(readable, "does not fit Float64 and would become infinity").otherwise(
-            "is not a finite number"
+    if family is None:
+        return F.expr(f"{prefix}_fast")
+    # Both branches are null for a missing cell.
+    rest = f"_family_{family}[{place}]"
+    if family in ("integer", "decimal"):
+        rest = f"try_cast({rest} AS {kind.storage.simpleString()})"
+    return F.expr(f"coalesce({prefix}_fast, {rest})")
+
+
+def refused_entry(prefix: str, kind: LogicalType, source: str, target: str, final_type: str) -> str | None:
+    """What is kept of a cell if it is refused: where it is from, and which rule refused it."""
+    if (refused := is_refused(prefix, kind)) is None:
+        return None
+    low, high = _date_bounds(kind) if kind.kind == "date" else ("", "")
+    known = {"source": source, "target": target, "type": final_type, "kind": kind.kind, "base": kind.base, "low": low, "high": high}
+    fields = ", ".join(f"'{n}', {literal(v)}" for n, v in known.items())
+    return f"CASE WHEN {refused} THEN named_struct('cell', {prefix}_cell, {fields}) END"
+
+
+def reason_of(cell: Column, rule: Column) -> Column:
+    """Why ``cell`` is refused, given that it is; ``rule`` is a :func:`refused_entry`.
+
+    One expression for all columns, evaluated only for refused cells.
+    """
+    base = rule["base"]
+    readable = ~F.contains(cell, F.lit("_")) & cell.rlike(R.FLOAT_PATTERN)
+    kind = rule["kind"]
+    return (
+        F.when(cell.isNull(), F.concat(F.lit("is empty, and "), base, F.lit(" is not nullable")))
+        .when(kind == "integer", F.concat(F.lit("does not fit "), base, F.lit(" or is not a whole number")))
+        .when(kind == "decimal", F.concat(F.lit("is not a number that "), base, F.lit(" holds exactly")))
+        .when((kind == "float") & readable, F.lit("does not fit Float64 and would become infinity"))
+        .when(kind == "float", F.lit("is not a finite number"))
+        .when(
+            (kind == "date") & R.date_value(cell).isNotNull(),
+            F.concat(F.lit("is outside "), base, F.lit(" ("), rule["low"], F.lit(".."), rule["high"], F.lit(")")),
         )
-    elif kind.kind == "date":
-        low, high = _date_bounds(kind)
-        reason = F.when(
-            R.date_value(cell).isNotNull(), f"is outside {kind.base} ({low}..{high})"
-        ).otherwise(f"is not a date for {kind.base}")
-    elif kind.kind == "datetime":
-        reason = F.when(
-            R.has_offset(cell), "carries a zone offset, which DateTime cannot hold"
-        ).otherwise("is not a date-time")
-    elif kind.kind == "bool":
-        reason = F.lit("is not a boolean")
-    return F.when(cell.isNull(), f"is empty, and {kind.base} is not nullable").otherwise(reason)
-
-
-def is_refused(prefix: str, kind: LogicalType) -> Column | None:
+        .when(kind == "date", F.concat(F.lit("is not a date for "), base))
+        .when((kind == "datetime") & R.has_offset(cell), F.lit("carries a zone offset, which DateTime cannot hold"))
+        .when(kind == "datetime", F.lit("is not a date-time"))
+        .when(kind == "bool", F.lit("is not a boolean"))
+        .otherwise(F.lit("is refused"))
+    )
+
+
+def is_refused(prefix: str, kind: LogicalType) -> str | None:
     """Whether the cell is refused; None for types that take every cell."""
-    cell, value = F.col(f"{prefix}_cell"), F.col(f"{prefix}_value")
     if kind.kind == "string" or (kind.kind == "other" and kind.nullable):
         return None
-    return (cell.isNotNull() & value.isNull()) if kind.nullable else value.isNull()
-
-
-def with_wide_numbers(df: DataFrame, kinds: dict[str, LogicalType]) -> DataFrame:
-    """Run the steps of all wide columns together, one projection per step."""
-    plans = [wide_steps(prefix, kind) for prefix, kind in kinds.items() if is_wide(kind)]
-    for step in zip(*plans):
-        df = df.withColumns({name: column for part in step for name, column in part.items()})
-    return df
+    return f"({prefix}_cell IS NOT NULL AND {prefix}_value IS NULL)" if kind.nullable else f"({prefix}_value IS NULL)"
 
 
 def integral_text(number: Column) -> Column:

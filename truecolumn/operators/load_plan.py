@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,49 +38,50 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
     staged = stripped.select(
         *carried, *[X.present_cell(p, kind).alias(f"{p}_cell") for p, kind in kinds.items()]
     )
-    typed = X.with_wide_numbers(staged, kinds).select(
-        *[_quoted(c) for c in staged.columns],
-        *[X.value_of(prefix, kind).alias(f"{prefix}_value") for prefix, kind in kinds.items()],
+    cells = [f"{p}_cell" for p in kinds]
+    fast = staged.select(*staged.columns, *[X.fast_value(p, kind).alias(f"{p}_fast") for p, kind in kinds.items()])
+    grouped = X.families(kinds)
+    gathered = fast.withColumns({f"_family_{f}": X.open_cells(kinds, prefixes) for f, prefixes in grouped.items()})
+    kernels = gathered.withColumns({f"_family_{f}": X.settled(f, F.col(f"_family_{f}")) for f in grouped})
+    place = {p: (i, f) for f, prefixes in grouped.items() for i, p in enumerate(prefixes)}
+    typed = kernels.select(
+        *[_quoted(c) for c in staged.columns if c not in cells],
+        *cells,
+        *[X.value_of(p, kind, *place.get(p, (None, None))).alias(f"{p}_value") for p, kind in kinds.items()],
     )
-    refused = {p: X.is_refused(p, kind) for p, kind in kinds.items()}
+    refused = [r for p, kind in kinds.items() if (r := X.is_refused(p, kind))]
+    if watched:
+        refused.append(f"{BAD_LINE} IS NOT NULL")
+    failed = F.expr(" OR ".join(refused) or "false")
     entries = [
-        F.when(
-            refused[f"_{i}"],
-            F.struct(
-                F.lit(m.source_name).alias("source"),
-                F.lit(m.target_name).alias("target"),
-                F.coalesce(F.col(f"_{i}_cell"), F.lit("")).alias("value"),
-                F.lit(m.final_type).alias("type"),
-                X.reason_of(f"_{i}", m.logical).alias("reason"),
-            ),
-        )
+        e
         for i, m in enumerate(chosen)
-        if refused[f"_{i}"] is not None
+        if (e := X.refused_entry(f"_{i}", m.logical, m.source_name, m.target_name, m.final_type))
     ]
-    if watched:
-        entries.append(
-            F.when(
-                F.col(BAD_LINE).isNotNull(),
-                F.struct(
-                    F.lit("").alias("source"),
-                    F.lit("").alias("target"),
-                    F.col(BAD_LINE).alias("value"),
-                    F.lit("").alias("type"),
-                    F.lit("malformed line: too many fields, an open quote or undecodable bytes").alias("reason"),
-                ),
-            )
-        )
-    conditions = [c for c in refused.values() if c is not None]
-    if watched:
-        conditions.append(F.col(BAD_LINE).isNotNull())
-    failed = reduce(or_, conditions, F.lit(False))
     # A filter on the errors must not be pushed below the steps: it would be
     # rewritten into one expression that repeats every step many times.  An
     # expression that is not deterministic stops that.
     fence = F.monotonically_increasing_id() >= 0
     # Good rows, the common case, share one empty array.
     none = F.array().cast(_ERROR_TYPE)
-    found = F.array_compact(F.array(*entries)) if entries else none
+    found = none
+    if entries:
+        found = F.transform(
+            F.expr(f"array_compact(array({', '.join(entries)}))"),
+            lambda e: F.struct(
+                e["source"].alias("source"), e["target"].alias("target"), F.coalesce(e["cell"], F.lit("")).alias("value"),
+                e["type"].alias("type"), X.reason_of(e["cell"], e).alias("reason"),
+            ),
+        )
+    if watched:
+        line = F.struct(
+            F.lit("").alias("source"),
+            F.lit("").alias("target"),
+            F.col(BAD_LINE).alias("value"),
+            F.lit("").alias("type"),
+            F.lit("malformed line: too many fields, an open quote or undecodable bytes").alias("reason"),
+        )
+        found = F.when(F.col(BAD_LINE).isNotNull(), F.array_append(found, line)).otherwise(found)
     errors = F.when(failed & fence, found).otherwise(none)
     values = []
     for i, m in enumerate(chosen):
