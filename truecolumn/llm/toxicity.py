@@ -2,7 +2,8 @@
 
 The lexicon is learned: words, and beginnings of words, whose share of toxic
 documents among the learnable labelled ones stands far above the rest.  Counts
-are Spark aggregations over all of those documents.  A text then becomes a few
+are Spark aggregations over those documents, of at most about ``LABELLED_KEYS``
+keys, so that the labels travel to the texts and no text is shuffled.  A text then becomes a few
 dense numbers: lexicon densities (plain and after undoing character swaps), how
 near lexicon words stand to words of address, capitals, punctuation, and the
 rate of obfuscated words.  Trees and calibration are Spark ML models.
@@ -30,8 +31,10 @@ FEATURES = [
 ]
 #: Terms of the lexicon at most: the most significant ones.  It bounds the model that workers get.
 MOST_TERMS = 4000
-#: A term needs this many toxic documents, this lift and this many standard errors.
-LEAST_DOCUMENTS, LEAST_LIFT, LEAST_SIGMAS = 4, 3.0, 4.0
+#: A term needs this lift and this log-likelihood ratio (1 chance in 10 000), which bears counts of zero.
+LEAST_LIFT, LEAST_RATIO = 3.0, 15.1
+#: Labelled keys that are learned from, about; more than that are thinned by hash.
+LABELLED_KEYS = 200_000
 #: Lengths of the beginnings of longer words that count as terms of their own.
 STEMS = (4, 5, 6, 7)
 #: Words between a lexicon word and a word of address.
@@ -91,11 +94,16 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
         return {}
     counts = labelled.select("text", "toxic").mapInArrow(_counted, "term string, clean long, toxic long")
     counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    log_odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = counts.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumns({"w": log_odds, "z": log_odds / spread})
-    found = found.where((F.col("w") >= math.log(LEAST_LIFT)) & (F.col("z") >= LEAST_SIGMAS))
-    return {r.term: r.w for r in found.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()}
+    t, c = F.col("toxic"), F.col("clean")
+    log_odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    # Of the documents with the term and those without it, against a term that does not care.
+    share = toxic / (toxic + clean)
+    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    n, rest = t + c, toxic + clean - t - c
+    ratio = 2 * (cell(t, n * share) + cell(c, n * (1 - share)) + cell(toxic - t, rest * share) + cell(clean - c, rest * (1 - share)))
+    found = counts.withColumns({"w": log_odds, "ratio": ratio})
+    found = found.where((F.col("w") >= math.log(LEAST_LIFT)) & (F.col("ratio") >= LEAST_RATIO))
+    return {r.term: r.w for r in found.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect()}
 
 
 def features(text: str, lexicon: dict[str, float], strong: float) -> list[float]:
@@ -148,17 +156,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, trees: int = 20, depth:
 
     Learned from labelled rows that are not held out: four fifths of the keys
     grow the trees, one fifth calibrates.  A null text counts as empty; a null
-    key or label is not learned from; repeated rows are scored alike.  Without
+    key or label is not learned from; a key with several labels is toxic if one
+    says so; repeated rows are scored alike.  Without
     both classes among the learnable rows every score is their share of toxic
     rows (0 if there are none).
     """
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").where(may_learn(F.col("doc_id")))
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    lexicon = learn_lexicon(plain.where(may_learn(F.col("doc_id"))).join(known, "doc_id").select("text", "toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    part = min(1.0, LABELLED_KEYS / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    # LABELLED_KEYS bounds what is sent to every executor: a few megabytes.
+    met = plain.where(may_learn(F.col("doc_id"))).join(F.broadcast(known), "doc_id")
+    lexicon = learn_lexicon(met.select("text", "toxic"))
     measured = stored(with_features(plain, lexicon), "toxicity-features")
 
-    rows = measured.join(known, "doc_id").select("x", F.col("toxic").cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates"))
+    rows = measured.join(F.broadcast(known), "doc_id").select("x", F.col("toxic").cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates"))
     rows = stored(rows.withColumn("features", array_to_vector("x")).drop("x"), "toxicity-labelled")
     grown = rows.where("not calibrates")
     classes = rows.agg(F.avg("label").alias("share"), F.countDistinct("label").alias("kinds")).first()
