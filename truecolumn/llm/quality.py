@@ -28,6 +28,8 @@ FEATURES = [
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Share of the best gain that a stricter threshold must reach.
 ALIKE = 0.97
+#: Labelled keys that :func:`keep_good` learns from, about.
+LABELLED_KEYS = 200_000
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -270,11 +272,15 @@ def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor the learned list rejects, with their columns.
 
-    The list is learned from the labelled rows' statistics; every row is then
+    The list is learned from the statistics of labelled rows, of at most about
+    ``LABELLED_KEYS`` keys (more are thinned by hash); every row is then
     measured and judged where it is read, without a shuffle.
     """
-    keyed = labels.where("doc_id is not null").select("doc_id").distinct()
-    known = with_features(docs.select("doc_id", "text").join(keyed, "doc_id", "left_semi")).drop("text")
+    keyed = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    part = min(1.0, LABELLED_KEYS / max(1, keyed.count()))
+    keyed = keyed.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    # LABELLED_KEYS bounds what is sent to every executor, so no text is shuffled.
+    known = with_features(docs.select("doc_id", "text").join(F.broadcast(keyed), "doc_id", "left_semi")).drop("text")
     decided = learn_from_labels(stored(known, "quality-features"), labels)
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     # A filter must not be pushed below the steps: it would be rewritten into one
