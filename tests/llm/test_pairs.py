@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, empty, words
 
 from truecolumn.llm.components import components
@@ -198,3 +199,39 @@ def test_redaction_keeps_rows_and_columns(spark):
         assert r.text == (None if source is None else done + source[at:])
         assert r.n_chars == (len(r.text) if spans[r.doc_id] else n_chars)
     assert out.where("text like '%hunter22%'").count() == 0
+
+
+def test_near_but_unlinked_sets_are_not_all_confirmed(spark, monkeypatch):
+    """400 documents that share 60 words and have 10 of their own: no link, and few pairs meet their full sets."""
+    from truecolumn.llm import near_dup as N
+
+    tried = []
+    plain = N.stored
+
+    def counted(df, name):
+        found = plain(df, name)
+        if name == "tried":
+            tried.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "stored", counted)
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"x{i}_{j}" for j in range(10)])) for i in range(400)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2, percent=80).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and sum(tried) < 20 * 400
+
+
+def test_ones_of_set_sketches_bound_the_difference():
+    from truecolumn.llm import near_dup as N
+
+    rng = np.random.default_rng(2)
+    for n in (5, 100, 3000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        two = np.union1d(one[n // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64))
+        lists = pa.array([one.view(np.int64).tolist(), two.view(np.int64).tolist(), []], pa.list_(pa.int64()))
+        (batch,) = N._set_sketches([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), lists], names=["node", "members"])])
+        words = np.array([batch[c].to_pylist() for c in N.SET_SKETCH]).T
+        ones = sum(int(x).bit_count() for x in (words[0] ^ words[1]).view(np.uint64))
+        differ = len(np.setxor1d(one, two))
+        assert ones <= differ and (ones - differ) % 2 == 0 and not words[2].any()
+        assert ones >= 0.9 * differ or n == 3000

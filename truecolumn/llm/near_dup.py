@@ -12,7 +12,9 @@ Buckets are not expanded into all pairs.  Members outside the largest component
 of their bucket are compared with one hub in it, in three rounds with different
 hubs, and only those that are still outside are then compared with the rest of
 the bucket.  Pairs that are skipped lie in one component already, so no component is
-split.
+split.  For this last comparison odd sketches of the whole sets are made: the ones
+in their XOR never exceed the shingles that differ, so that even many sets that
+are just short of the wanted similarity are told apart without their full sets.
 With 40 bands of 6 samples a pair at similarity 0.8 is missed with probability
 5e-6, at 0.85 with 4e-9.
 """
@@ -35,6 +37,9 @@ from truecolumn.llm.words import mix, slices, windows, words_of
 BANDS, ROWS = 40, 6
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Bits of the sketch of a whole set, for members of crowded buckets.
+SET_BITS = 2048
+SET_SKETCH = [f"w{i}" for i in range(SET_BITS // 64)]
 #: Standard deviations by which an estimate may fall short before a pair goes.
 MARGIN = 4.5
 #: Hashes of a set handled at once, so that samples stay in the cache.
@@ -105,6 +110,24 @@ def ones_allowed(similarity: float, margin: float = MARGIN) -> int:
     return math.ceil(mean + margin * math.hypot(samples_off, bits_off))
 
 
+def differing(n: int | Column, m: int | Column, percent: int):
+    """Shingles that may be in one of two linked sets only, at most."""
+    return (n + m) * (100 - percent) / (100 + percent)
+
+
+def _set_sketches(batches):
+    """Odd sketches of whole sets: parity of how many members fall on each bit."""
+    for batch in batches:
+        lists = batch["members"]
+        members = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64)
+        spot = (mix(members ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SET_BITS)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * SET_BITS + spot, minlength=len(sizes) * SET_BITS) & 1
+        words = np.packbits(odd.astype(np.uint8).reshape(-1, SET_BITS), axis=1).view(np.int64)
+        columns = [batch["node"], *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(SET_SKETCH))]]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", *SET_SKETCH])
+
+
 def _features(size: int, key: str, text: str):
     def run(batches):
         for whole_batch in batches:
@@ -198,33 +221,50 @@ class _Search:
         return self.buckets.join(known, "node", "left").withColumn("c", F.coalesce("c", "node"))
 
     @staticmethod
-    def apart(rows: DataFrame, rank: Column) -> DataFrame:
-        """Rows outside the largest component of their bucket; its hub is that component's first node by ``rank``."""
+    def hubs(rows: DataFrame, rank: Column) -> DataFrame:
+        """Bucket rows with their bucket's hub, the first node by ``rank`` of its largest component, and whether they are apart from it."""
         own = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "node")).alias("first"))
         hub = own.groupBy("key").agg(F.max(F.struct("n", "c", F.col("first.node").alias("node"))).alias("hub"))
-        return rows.join(hub, "key").where("c <> hub.c")
+        return rows.join(hub, "key").withColumn("away", F.col("c") != F.col("hub.c"))
+
+    def alike(self) -> Column:
+        """What the sketches of the whole sets of ``a`` and ``b`` leave possible.
+
+        The ones of two sketches are never more than the shingles that differ,
+        so a link never has more than it may differ by.  Where differing
+        shingles meet on bits the expected ones, with a margin, are fewer still.
+        """
+        ones = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SET_SKETCH])
+        most = differing(F.col("a_n"), F.col("b_n"), self.percent)
+        expected = SET_BITS / 2 * (1 - F.exp(-2 * most / SET_BITS))
+        return ones <= F.least(most, expected + MARGIN * F.sqrt(expected) / 2 + 1)
 
     def run(self) -> DataFrame:
         """``(node, component)`` of every linked node."""
         # One hub for most of a group's buckets first, then another one for every bucket.
         names = None
         for rank in (F.col("node"), F.xxhash64("key", "node"), F.xxhash64("node", "key")):
-            met = self.apart(self.placed(names), rank)
+            met = self.hubs(self.placed(names), rank).where("away")
             names = self.confirm(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
         # What is left apart meets the whole bucket, each pair in its first common bucket only.
-        rows = stored(self.placed(names), "placed")
-        apart = stored(self.apart(rows, F.col("node")).select("key", F.col("node").alias("a"), F.col("c").alias("ac")), "apart")
+        rows = stored(self.hubs(self.placed(names), F.col("node")).drop("hub"), "placed")
+        apart = rows.where("away").select("key", F.col("node").alias("a"), F.col("c").alias("ac"))
         if apart.isEmpty():
             return names
         rows = rows.join(apart.select("key").distinct(), "key", "left_semi")
-        keys = self.marks.select("node", "bands")
-        left = self.marked(apart, "a").join(keys.withColumnsRenamed({"node": "a", "bands": "a_bands"}), "a")
-        right = self.marked(rows.withColumnsRenamed({"node": "b", "c": "bc"}), "b")
-        right = right.join(keys.withColumnsRenamed({"node": "b", "bands": "b_bands"}), "b").withColumnRenamed("key", "other")
+        keys = self.marks.select("node", "bands", "n", *SKETCH)
+        wide = self.sets.join(rows.select("node").distinct(), "node", "left_semi")
+        wide = wide.mapInArrow(_set_sketches, "node long, " + ", ".join(f"{c} long" for c in SET_SKETCH))
+        keys = stored(keys.join(wide, "node"), "crowded")
+        names_of = lambda end: {c: f"{end}_{c}" for c in ("bands", "n", *SKETCH, *SET_SKETCH)} | {"node": end}
+        left = apart.join(keys.withColumnsRenamed(names_of("a")), "a")
+        right = rows.withColumnsRenamed({"node": "b", "c": "bc", "key": "other"}).join(keys.withColumnsRenamed(names_of("b")), "b")
         place = F.array_position("a_bands", F.col("key")).cast("int")
         earlier = F.arrays_overlap(F.slice("a_bands", F.lit(1), place - 1), F.slice("b_bands", F.lit(1), place - 1))
-        met = left.join(right, (F.col("key") == F.col("other")) & (F.col("ac") != F.col("bc")) & self.near() & ~earlier)
-        return self.confirm(met.select("a", "b"))
+        # Two that are apart in this bucket meet once.
+        once = ~F.col("away") | (F.col("a") < F.col("b"))
+        found = (F.col("key") == F.col("other")) & (F.col("ac") != F.col("bc")) & once & self.near() & self.alike() & ~earlier
+        return self.confirm(left.join(right, found).select("a", "b"))
 
 
 def near_duplicates(
