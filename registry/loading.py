@@ -18,7 +18,7 @@ from truecolumn.operators import validate as V
 from truecolumn.operators.load_plan import BAD_LINE
 from truecolumn.plans.mapping import ColumnMapping
 from truecolumn.session import scratch_path
-from truecolumn.sinks import balance_table, load_runs
+from truecolumn.sinks import balance_table, block_files, load_runs
 from truecolumn.sinks import tables as S
 from truecolumn.sinks.json_export import export_json
 from truecolumn.sources import csv_text as C
@@ -101,6 +101,17 @@ def choose_encoding(spark, sf):
     ).withColumn("encoding", F.lit(options.encoding))
 
 
+def encoding_scores(spark, sf):
+    """How a file reads in two encodings whose first thousand lines are the same in both, and which one is chosen."""
+    orders = I._over(spark, sf, "orders", _CYRILLIC)
+    label = F.when(F.col("o_orderkey") <= 1000, F.lit("plain")).otherwise(F.col("label"))
+    rows = orders.select("o_orderkey", label.alias("label")).orderBy("o_orderkey")
+    path = _csv_copy(spark, rows, encoding="windows-1251", sep=";", header=False)
+    chosen = C.choose_encoding(spark, path, C.ReadOptions(";")).encoding
+    scores = C.encoding_scores(spark, path, ("utf_8", "cp1251"))
+    return scores.select("encoding", "lines", "damaged", "traced", (F.col("encoding") == chosen).alias("chosen"))
+
+
 def sniff_delimiter(spark, sf):
     path = _csv_copy(spark, I._over(spark, sf, "customer", _TRICKY), sep=";", header=False)
     return C.separator_counts(spark.read.text(path))
@@ -399,6 +410,14 @@ def export_json_gzip(spark, sf):
 
 # --- tables ----------------------------------------------------------------
 
+def export_blocks(spark, sf):
+    """Rows written as zstd bodies of at most 20 000 bytes of text, and the lines read back from them."""
+    path = block_files.write_blocks(_typed_orders(spark, sf), scratch_path(spark, "blocks"), "zstd", limit=20_000)
+    short = F.when(F.col("raw_bytes") <= 20_000, F.col("body")).otherwise(F.raise_error(F.lit("a body is too long")))
+    blocks = block_files.read_blocks(spark, path)
+    return blocks.select(F.explode(F.split(short, "\n")).alias("line"))
+
+
 def load_table(spark, sf):
     table = f"{_scratch_database(spark)}.orders_loaded"
     columns = CONVERSIONS["convert_decimal"][:1] + (
@@ -553,6 +572,7 @@ QUERIES = {
             load_summary, oversize_rows, export_json_gzip, load_table, load_partitioned,
             shard_assignment, replace_day, run_ratios, csv_quoted_newlines, csv_unclosed_quotes,
             csv_undecodable, load_refuses_bad_lines, csv_quoted_records, first_bad_row, sniffed_table,
+            encoding_scores, export_blocks,
         )
     },
     **{name: _converter(columns) for name, columns in CONVERSIONS.items()},
@@ -588,6 +608,10 @@ FROM ({_TRICKY}), (SELECT unnest([',', ';', '\\t', '|', '~~']) AS sep)""",
     "csv_scan_cp1251": f"SELECT CAST(o_orderkey AS STRING) AS o_orderkey, label FROM ({_CYRILLIC})",
     "choose_encoding": """
 SELECT count(*) AS rows_total, count(*) AS rows_readable, 'cp1251' AS encoding FROM orders""",
+    "encoding_scores": """
+SELECT e AS encoding, count(*) AS lines, count(*) FILTER (e = 'utf_8' AND o_orderkey > 1000) AS damaged,
+  count(*) FILTER (e = 'utf_8' AND o_orderkey > 1000) AS traced, e = 'cp1251' AS chosen
+FROM orders, (VALUES ('utf_8'), ('cp1251')) t(e) GROUP BY e""",
     "sniff_delimiter": """
 SELECT s AS separator, CAST(min(n) AS INTEGER) AS fewest, CAST(max(n) AS INTEGER) AS most,
        count(*) AS lines, CAST(sum(n) AS BIGINT) AS total
@@ -634,6 +658,7 @@ FROM (SELECT doc_id, '{"doc_id":' || CAST(doc_id AS STRING) || ',"text":' || CAS
              || ',"lang":"' || lang || '"}' AS line FROM documents)
 WHERE strlen(line) > 10000""",
     "export_json_gzip": f"SELECT {_LINE_SQL} AS line FROM orders",
+    "export_blocks": f"SELECT {_LINE_SQL} AS line FROM orders",
     "load_table": f"""
 SELECT CASE WHEN {_K} % 97 <> 0 AND {_K} % 89 <> 0 THEN {_TOTAL} END AS total,
        CAST({_K} AS DECIMAL(20,0)) AS id, nullif({M.COLUMNS['comment']}, '') AS note

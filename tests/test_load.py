@@ -94,6 +94,10 @@ def test_encodings(spark, tmp_path):
     assert rows(C.read_text_table(spark, path, chosen)) == [("1", "тест")]
     assert C.undecodable_lines(spark, path).first()[0] == 1
     assert C.undecodable_lines(spark, path, "cp1251").first()[0] == 0
+    late = write(tmp_path / "late.csv", "ID;NAME\n" + "1;plain\n" * 500 + "2;тест\n", "cp1251")
+    assert C.choose_encoding(spark, late, C.ReadOptions(";")).charset == "windows-1251"
+    mixed = write(tmp_path / "mixed.csv", "ID;NAME\n" + "1;тест\n" * 3000 + "2;Рё\n")
+    assert C.choose_encoding(spark, mixed, C.ReadOptions(";", "cp1251")).charset == "UTF-8"
     damaged = write(tmp_path / "x.csv", "ID;NAME\n1;те�т\n")
     with pytest.raises(SchemaError, match="damaged"):
         C.choose_encoding(spark, damaged, C.ReadOptions(";"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from truecolumn.errors import CleanupError, ExistingTableError, LoadError, SchemaError
 
-# What a load leaves behind.  Spark commits all files of a job or none, so a
-# half-filled table cannot occur.
+# What a load leaves behind.  A table gets its name when it is complete, so a
+# half-filled target cannot occur.
 CREATED, NOT_CREATED, CLEANUP_FAILED = "created", "not_created", "cleanup_failed"
+#: Between a target's name and the id of the load that is writing it.
+STAGED = "__load_"
 
 
 @dataclass(frozen=True)
@@ -98,10 +100,14 @@ def _written_by(spark: SparkSession, name: str, load_id: str) -> bool:
 def load_table(df: DataFrame, name: str, layout: Layout = Layout()) -> DataFrame:
     """Write a new table and return it.
 
-    An existing target is refused.  Spark puts the table into the catalog only
-    after all of its files are committed.  If a later step fails, the table is
-    dropped again if it carries this load's mark: what someone else created
-    meanwhile stays.
+    An existing target is refused.  Rows go to a table with a name of this load's
+    own, which is renamed to the target once it is complete: a load that is killed
+    at any point leaves no target and does not stand in the way of the next one
+    (:func:`abandoned_loads` finds what it left).  Catalogs do not move a
+    partitioned table's partitions along with its name, so such a table is written
+    under its own name; Spark puts it into the catalog after all of its files.  If
+    a step fails, what this load made is dropped; whether the target was published
+    is read from the catalog, and what someone else created meanwhile stays.
     """
     spark = df.sparkSession
     if existing_tables(spark, [name]):
@@ -110,24 +116,42 @@ def load_table(df: DataFrame, name: str, layout: Layout = Layout()) -> DataFrame
     if layout.sort_by and not layout.shard_by:
         rows = rows.sortWithinPartitions(*layout.partition_columns, *layout.sort_by)
     load_id = uuid.uuid4().hex
+    staged = not layout.partition_columns
+    staging = f"{name}{STAGED}{load_id}" if staged else name
     try:
-        _writer(rows, layout).option("load_id", load_id).saveAsTable(name)
+        _writer(rows, layout).option("load_id", load_id).saveAsTable(staging)
+        if staged:
+            publish(spark, staging, name)
     except Exception as problem:
         try:
             mine = _written_by(spark, name, load_id)
-            if mine:
-                drop_tables(spark, [name])
+            if mine and staged:
+                # The rename took place, whatever was reported.
+                return spark.table(name)
+            if mine or staged:
+                drop_tables(spark, [staging])
         except Exception as second:
             raise CleanupError(
                 f"loading {name} failed ({problem}), and cleaning up failed too ({second}); "
-                "look at it before the next load"
+                f"look at {staging} before the next load"
             ) from problem
-        if not mine and existing_tables(spark, [name]):
+        if existing_tables(spark, [name]):
             raise ExistingTableError(f"target table already exists: {name}") from problem
         raise LoadError(f"loading {name} failed, nothing was created: {problem}") from problem
     return spark.table(name)
 
 
+def publish(spark: SparkSession, staging: str, name: str) -> None:
+    """Give a complete table its final name; fails if the name is taken."""
+    spark.sql(f"ALTER TABLE {check_table_name(staging)} RENAME TO {check_table_name(name)}")
+
+
+def abandoned_loads(spark: SparkSession, database: str) -> list[str]:
+    """Tables that stopped loads left behind in a database, or that loads are writing now."""
+    found = spark.sql(f"SHOW TABLES IN {check_table_name(database)} LIKE '*{STAGED}*'").collect()
+    return sorted(f"{database}.{row['tableName']}" for row in found)
+
+
 def append_rows(df: DataFrame, name: str) -> None:
     """Add rows, matched by column name, to an existing table."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from truecolumn.operators.load_plan import BAD_LINE
 from truecolumn.plans.header import trimmed_names
 from truecolumn.session import spread
 from truecolumn.sources import quotes as Q
-from truecolumn.sources.records import has_byte_lines, read_records
+from truecolumn.sources.records import decoded, has_byte_lines, read_records
 
 # What a user may choose from; other choices may be typed in.
 SEPARATORS: tuple[str, ...] = (",", ";", "\t", "|")
@@ -22,6 +22,9 @@ ENCODINGS: tuple[str, ...] = ("utf_8", "utf-8-sig", "cp1251", "windows-1251")
 SNIFF_CHARACTERS = 8192
 _EXTRA = "_field_beyond_the_header"
 PREVIEW_ROWS = 20
+#: A file may have traces of a wrong decoding in one line of so many: what looks like a
+#: trace can be text.
+TRACED_LINES = 1000
 #: Columns of numbered tables: the file, the first line of the row in it (from 1), and the
 #: row's number over all files in order of their paths (from 0).
 FILE, LINE, ROW = "_file", "_line", "_row"
@@ -303,29 +306,60 @@ def table_mojibake_score(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0).cast("bigint")).alias("score"))
 
 
-def choose_encoding(
-    spark: SparkSession, path: str, options: ReadOptions = ReadOptions(), rows: int = PREVIEW_ROWS
-) -> ReadOptions:
-    """The first candidate encoding whose preview shows no mis-decoding.
+def encoding_scores(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """How every line of the files reads in each encoding, in one scan.
+
+    One row per encoding, in the given order: lines that are not empty, lines
+    with characters that cannot be decoded, lines with traces of a wrong
+    decoding, and the traces' summed weight.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).where("value <> ''")
+    read = [decoded(F.col("value"), ReadOptions(encoding=e).charset) for e in encodings]
+    texts = lines.select(*[t.alias(f"t{i}") for i, t in enumerate(read)])
+    found = texts.select(
+        *[F.contains(f"t{i}", F.lit("\ufffd")).alias(f"d{i}") for i in range(len(encodings))],
+        *[R.mojibake_score(F.col(f"t{i}")).alias(f"s{i}") for i in range(len(encodings))],
+    )
+    folded = found.agg(
+        *[
+            F.struct(
+                F.lit(i).alias("place"),
+                F.lit(e).alias("encoding"),
+                F.count(F.lit(1)).alias("lines"),
+                F.count_if(f"d{i}").alias("damaged"),
+                F.count_if(F.col(f"s{i}") > 0).alias("traced"),
+                F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias("score"),
+            ).alias(f"c{i}")
+            for i, e in enumerate(encodings)
+        ]
+    )
+    return folded.select(F.explode(F.array(*[f"c{i}" for i in range(len(encodings))])).alias("c")).select("c.*")
+
+
+def choose_encoding(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> ReadOptions:
+    """The candidate encoding in which the whole file reads best.
 
     Candidates after the requested one are the usual choices; two spellings of
-    one charset are tried once.  A file damaged in every reading is refused.
+    one charset are tried once.  All lines are read in every candidate, in one
+    job.  The least traces of a wrong decoding win, the earlier candidate among
+    equals.  A file with undecodable characters in every reading, or with traces
+    in one line of ``TRACED_LINES`` or more, is refused.
     """
-    seen = {}
+    wanted: dict[str, str] = {}
     for encoding in (options.encoding, *ENCODINGS):
-        candidate = replace(options, encoding=encoding)
-        if candidate.charset in seen:
-            continue
-        shown = preview(spark, path, candidate, rows)
-        # The header is text of the file too.
-        header = "".join(shown.columns)
-        headed = shown.withColumn("_header", F.lit(header))
-        score = table_mojibake_score(headed).first()["score"]
-        if not score:
-            return candidate
-        seen[candidate.charset] = score
+        wanted.setdefault(ReadOptions(encoding=encoding).charset, encoding)
+    tried = tuple(e for c, e in wanted.items() if has_byte_lines(c))
+    if not has_byte_lines(options.charset):
+        # Its line ends are not single bytes, so it is judged as it is asked for.
+        shown = preview(spark, path, options)
+        if not table_mojibake_score(shown.withColumn("_header", F.lit("".join(shown.columns)))).first()["score"]:
+            return options
+    scores = sorted(encoding_scores(spark, path, tried).collect(), key=lambda r: (r["score"], r["place"]))
+    for r in scores:
+        if not r["damaged"] and r["traced"] * TRACED_LINES <= r["lines"]:
+            return replace(options, encoding=r["encoding"])
     raise SchemaError(
-        "the preview shows replacement characters or mis-decoded text in every encoding tried: "
-        + ", ".join(seen)
+        "the file shows replacement characters or mis-decoded text in every encoding tried: "
+        + ", ".join(f"{r['encoding']} ({r['damaged']} and {r['traced']} of {r['lines']} lines)" for r in scores)
         + "; the file is damaged or was exported with a wrong encoding"
     )

@@ -34,7 +34,8 @@ _WIDE = ("UTF-16", "UTF-32", "UCS-2", "UCS-4")
 _MARK = "﻿"
 
 
-def _decoded(value: Column, charset: str) -> Column:
+def decoded(value: Column, charset: str) -> Column:
+    """Text of a raw line; bytes that are no text become replacement characters."""
     if charset.upper() == "UTF-8":
         return F.make_valid_utf8(value)
     return F.decode(value.cast("binary"), charset)
@@ -53,7 +54,7 @@ def _lines(spark: SparkSession, path, charset: str, separator: str, joined: bool
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     found = spark.read.option("lineSep", "\n").text(path)
-    text = _decoded(F.col("value"), charset)
+    text = decoded(F.col("value"), charset)
     rows = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("text"))
     # A byte order mark hides the quote behind it.
     plain = F.when((F.col("block") == 0) & F.col("text").startswith(_MARK), F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
