@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from truecolumn.errors import LoadError, SchemaError
 from truecolumn.operators import balance as B
@@ -124,3 +125,20 @@ def test_backfill_equals_daily_loop(spark):
     assert again == counts[str(start)]
     assert balance_table.process_day(v.limit(0), t, table, start, AT) == 0
     assert spark.table(table).where(f"day = '{start}'").count() == 0
+
+
+def test_packed_ids_keep_the_order(spark):
+    from truecolumn.operators.balance import latest_id, packed_id, unpacked_id
+
+    ids = [None, -(2**63), -5, 0, 7, 2**63 - 1]
+    times = [None, "0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "2024-01-15 10:00:00.000001", "9999-12-31 23:59:59.999999"]
+    rows = [(t, i) for t in times for i in ids]
+    df = spark.createDataFrame(rows, "t string, id bigint").withColumn("v", F.col("t").cast("timestamp_ntz"))
+    packed = df.select("t", "id", packed_id("id", "v").alias("p")).select("*", unpacked_id(F.col("p")).alias("back")).collect()
+    assert [r.back for r in packed] == [i for _, i in rows]
+    numbers = [r.p for r in packed]
+    assert numbers == sorted(numbers) and len(set(numbers)) == len(numbers)
+    latest = df.where("id is not null").groupBy(F.lit(1)).agg(latest_id("id", "v").alias("id"))
+    assert latest.first().id == 2**63 - 1
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

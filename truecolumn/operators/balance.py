@@ -77,6 +77,40 @@ def latest(value: str, version: str) -> Column:
     return F.max_by(value, F.struct(version, value))
 
 
+#: Places of an id in a packed number, with one more for a missing id.
+_IDS = 2**65
+_EARLIEST = 2**58
+
+
+def _number(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(20,0)")
+
+
+def packed_id(value: str, version: str) -> Column:
+    """A version's microseconds and an id as one decimal in the order of both, nulls first.
+
+    Unlike a structure a decimal is a value that Spark's hash aggregation can
+    update in place, so the latest id needs no sort.  Microseconds of the years 1
+    to 9999 take 59 bits, so all of it stays below 38 digits.
+    """
+    micros = F.unix_micros(F.col(version).cast("timestamp")).cast("decimal(20,0)") + _number(_EARLIEST)
+    shifted = F.col(value).cast("decimal(20,0)") + _number(2**63 + 1)
+    zero = _number(0)
+    high = F.coalesce(micros, zero).cast("decimal(18,0)") * _number(_IDS)
+    return (high.cast("decimal(38,0)") + F.coalesce(shifted, zero)).cast("decimal(38,0)")
+
+
+def unpacked_id(packed: Column) -> Column:
+    """The id in a :func:`packed_id`."""
+    low = packed % _number(_IDS)
+    return F.when(low > 0, low - _number(2**63 + 1)).cast("bigint")
+
+
+def latest_id(value: str, version: str) -> Column:
+    """The id of the latest version; equal versions are settled by id."""
+    return unpacked_id(F.max(packed_id(value, version)))
+
+
 def max_account_id(versions: DataFrame, day: date | str) -> DataFrame:
     """Largest account id opened up to the end of the day, as one row."""
     opened = F.col("open_dt") < _midnight(as_day(day) + timedelta(days=1))
@@ -102,15 +136,15 @@ def open_versions(versions: DataFrame, day: date | str) -> DataFrame:
 def active_accounts(versions: DataFrame, day: date | str) -> DataFrame:
     """Accounts open on the day with the user of their latest version."""
     return open_versions(versions, day).groupBy(KEY).agg(
-        latest("holder_id", "ch_processed_at").alias("holder_id")
+        latest_id("holder_id", "ch_processed_at").alias("holder_id")
     )
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
     """Wallet and user of the latest version of every account."""
     return versions.groupBy(KEY).agg(
-        latest("wallet_id", "ch_processed_at").alias("wallet_id"),
-        latest("holder_id", "ch_processed_at").alias("holder_id"),
+        latest_id("wallet_id", "ch_processed_at").alias("wallet_id"),
+        latest_id("holder_id", "ch_processed_at").alias("holder_id"),
     )
 
 
@@ -269,7 +303,7 @@ def backfill(
             F.greatest(F.to_date("open_dt"), low).alias("from_day"),
             F.least(F.coalesce(F.to_date("close_dt"), high), high).alias("to_day"),
             F.lit(True).alias("is_version"),
-            F.struct("ch_processed_at", "holder_id").alias("version"),
+            packed_id("holder_id", "ch_processed_at").alias("version"),
             *[F.lit(None).cast(BALANCE_SCHEMA[m].dataType).alias(m) for m in MEASURES],
             F.lit(None).cast("decimal(28,2)").alias("opening"),
         )
@@ -326,7 +360,7 @@ def backfill(
         .withColumn("balance", F.sum(change).over(island))
         .select(
             KEY,
-            F.col("version.holder_id").alias("holder_id"),
+            unpacked_id(F.col("version")).alias("holder_id"),
             "day",
             "balance_by_day",
             "balance",
