@@ -61,6 +61,41 @@ def test_a_stopped_load_leaves_no_target(spark, monkeypatch):
     assert not [n for n in S.abandoned_loads(spark, "default") if "stopped" in n]
 
 
+def test_progress_of_a_slow_load(spark, tmp_path):
+    import time
+
+    from truecolumn.plans.mapping import ColumnMapping
+    from truecolumn.sinks.load_runs import load, source_bytes
+    from truecolumn.sources.csv_text import read_text_table
+
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    for i in range(12):
+        (folder / f"{i}.csv").write_text("id\n" + f"{i}\n" * 200)
+    text = read_text_table(spark, str(folder)).repartition(12)
+    assert source_bytes(text) == sum(f.stat().st_size for f in folder.iterdir())
+
+    def slow(batches):
+        for batch in batches:
+            time.sleep(0.4)
+            yield batch
+
+    seen = []
+    mapping = [ColumnMapping("id", "id", "Int64", "Int64")]
+    read = read_text_table(spark, str(folder))
+    lazy = read.mapInPandas(slow, read.schema)
+    run = load(lazy, mapping, "watched_load", report=seen.append)
+    assert run.rows == 2400 and run.src_bytes == seen[-1].read_bytes == seen[-1].total_bytes > 0
+    reads, tasks = [p.read_bytes for p in seen], [p.tasks_done for p in seen]
+    assert reads == sorted(reads) and tasks == sorted(tasks) and seen[-1].tasks_done == seen[-1].tasks_known
+    assert "of 0.0 MB (100 %)" in seen[-1].line()
+
+    def broken(_):
+        raise RuntimeError("no screen")
+
+    assert load(lazy, mapping, "watched_again", report=broken).rows == 2400
+
+
 def test_fate_is_read_from_the_catalog(spark, monkeypatch):
     df = spark.range(5).selectExpr("id", "cast(id AS string) AS v")
     real = S.publish

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from truecolumn.operators.blocks import DEFAULT_BLOCK_BYTES, json_lines
 from truecolumn.operators.validate import require_valid
 from truecolumn.plans.mapping import ColumnMapping
 from truecolumn.sinks import tables as S
+from truecolumn.sinks.progress import Progress, watched
 
 RUN_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("run_id", "target", "source", "outcome", "fate", "error", "spark_version")]
@@ -135,10 +138,12 @@ def run_report(runs: DataFrame) -> DataFrame:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Size of the files a table is read from, as the scans of its plan know it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    files = [leaves.apply(i) for i in range(leaves.size())]
-    return sum(int(x.stats().sizeInBytes()) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
+    """Size of the files a table is read from; no file is opened for it."""
+    paths = [unquote(p) for p in df.inputFiles()]
+    if not paths:
+        return 0
+    sizes = df.sparkSession.read.format("binaryFile").load(paths).select("length")
+    return sizes.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -156,6 +161,7 @@ def load(
     preflight_rows: int | None = None,
     preflight: bool = False,
     max_line_bytes: int = DEFAULT_BLOCK_BYTES,
+    report: Callable[[Progress], None] | None = None,
 ) -> LoadRun:
     """Validate, convert and load a text table into a new table, in one pass.
 
@@ -163,7 +169,8 @@ def load(
     malformed line or a row of more than ``max_line_bytes`` as JSON stops it, and
     the target is not created.  That job also counts rows and bytes.
     ``preflight`` validates beforehand, all rows or the leading
-    ``preflight_rows``, for an error that counts all refusals.
+    ``preflight_rows``, for an error that counts all refusals.  ``report`` is
+    called twice a second with the bytes read and the tasks ended so far.
     """
     spark = text.sparkSession
     run = LoadRun(target=target, src_bytes=source_bytes(text), worker_count=spark.sparkContext.defaultParallelism)
@@ -186,7 +193,8 @@ def load(
                 F.coalesce(F.sum(F.col("bytes").cast("bigint")), F.lit(0)).alias("bytes"),
             )
             rows = sized.where("bytes >= 0").select("row.*")
-            S.load_table(rows.to(typed.schema), target, layout)
+            with watched(spark, report, run.src_bytes):
+                S.load_table(rows.to(typed.schema), target, layout)
         run.rows, run.raw_bytes = counted.get["rows"], counted.get["bytes"]
         run.blocks = -(-run.raw_bytes // max_line_bytes)
         run.wire_bytes = table_bytes(spark.table(target))
