@@ -2,9 +2,9 @@
 
 Stages, in order: quality rules, near-duplicates, benchmark decontamination,
 secret scan, byte-level BPE.  Each works on all rows that its predecessor kept,
-and learns or counts on these rows.  Rows with null or repeated keys, null texts
-and further columns pass like others; the stages return the columns of
-``documents``, the last one token ids.
+and learns or counts on these rows.  Rows with null or repeated keys and null
+texts pass like others; columns beyond those of ``documents`` are left out.  The
+stages return the columns of ``documents``, the last one token ids.
 """
 
 from __future__ import annotations
