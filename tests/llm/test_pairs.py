@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and secrets against plain re-statements."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ from helpers import documents, empty, words
 
 from truecolumn.llm.components import components
 from truecolumn.llm.near_dup import near_duplicates, odd_sketch, ones_allowed, samples
-from truecolumn.llm.secret_scan import KINDS, redact_documents, scan, secret_digests
+from truecolumn.llm.secret_scan import KINDS, base_spans, candidates, redact_documents, scan, secret_digests
 from truecolumn.llm.substrings import factorize, parse, removed_words
 
 
@@ -170,6 +171,27 @@ def test_only_what_few_own_is_added(spark):
     assert added[4] == 1 and not any(added[100 + i] for i in range(8))
 
 
+def test_candidates_in_addresses_have_any_length():
+    for scheme, user, value in (("db", "u", "abcdef"), ("x" * 40, "u" * 500, "p-" * 300), ("a+b", "", "abcdef"), ("db", "u", "abcde")):
+        text = f"see {scheme}://{user}:{value}@host and db://host:80/x"
+        start = text.index(value)
+        want = [(start, start + len(value))] if user and len(value) >= 6 else []
+        assert candidates(text, []) == want
+
+
+def test_candidates_touch_no_base_span():
+    value, rng = "Hb7kQ2vLm9Xp4RtYw8BnZc", random.Random(5)
+    parts = [f"token={value}", f"auth: {value}", "0123456789abcdef" * 2, f"db://u:{value}@h", f"token: {'a1' * 20}", "plain words"]
+    for _ in range(100):
+        text = rng.choice(" /-;").join(rng.choice(parts) for _ in range(12))
+        base = base_spans(text)
+        got = candidates(text, base)
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+        assert not any(start < b and a < end for start, end in got for a, _, b in base)
+    text = f"auth: {value} token=abcdefgh db://u:{value}@h"
+    assert [text[a:b] for a, b in candidates(text, base_spans(text))] == [value, value]
+
+
 def test_one_owner_may_hold_a_value_anywhere(spark):
     own, spread, few = "Hb7kQ2vLm9Xp4RtYw8BnZc", "Jd5sT8wNq3Ye6UvKx1ApMf", "Gr4eW9yBv2Ci7LoSz5DhPt"
     rows = [(i, f"call {i} auth: {own} now", "en", "one", 1) for i in range(30)]

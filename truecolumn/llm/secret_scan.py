@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +43,8 @@ _NAMED = re.compile(
 )
 _NAMED_HINTS = ("pwd", "credential", "key", "client", "auth", "bearer")
 _PREFIXED = re.compile(r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ)[A-Za-z0-9_.-]{16,}")
-_IN_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@")
+#: Names and passwords of any length; the scheme need not be scanned again, its last character tells it.
+_IN_ADDRESS = re.compile(r"(?<=[a-z0-9+.-])://[^\s/:@]+:([^\s/:@]{6,})@")
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 
 
@@ -82,9 +85,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if "://" in text:
         found += [m.span(1) for m in _IN_ADDRESS.finditer(text)]
     found += [m.span() for m in _RANDOM.finditer(text) if looks_random(m[0])]
-    taken, out = [(a, b) for a, _, b in base], []
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
+    out = []
     for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
-        if (not out or start >= out[-1][1]) and not any(start < b and a < end for a, b in taken):
+        before = bisect_left(starts, end)
+        if (not out or start >= out[-1][1]) and not (before and reach[before - 1] > start):
             out.append((start, end))
     return out
 
