@@ -283,3 +283,34 @@ def test_words_of_batches():
     assert windows(got.hashes, 3)[0] == windows(got.hashes[:3], 3)[0]
     batch = pa.record_batch({"t": column})
     assert [s.num_rows for s in slices(batch, "t", 10)] and sum(s.num_rows for s in slices(batch, "t", 10)) == len(texts)
+
+
+def test_every_passage_shapes_the_latent_space(spark, monkeypatch):
+    rng, words = random.Random(3), [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice([*words, "other"]) for _ in range(rng.randint(0, 130))) for _ in range(40)]
+    known = D.Vocabulary(D.read_items([(1, " ".join(words), None)]))
+    number = {int(h[0]): int(np.searchsorted(known.words, h[0])) for h in D._hashes(words)}
+    held, pairs = Counter(), Counter()
+    for h in D._hashes(texts):
+        held.update({number[w] for w in h.tolist() if w in number})
+        for begin in range(0, len(h), D.STEP * D.STEPS):
+            found = Counter(number[w] for w in h[begin : begin + D.STEP * D.STEPS].tolist() if w in number)
+            pairs.update({(a, b): found[a] * found[b] for a in found for b in found if a <= b})
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for dense, most in ((D.DENSE_WORDS, D.HELD_PAIRS), (0, D.HELD_PAIRS), (0, 20)):
+        monkeypatch.setattr(D, "DENSE_WORDS", dense)
+        monkeypatch.setattr(D, "HELD_PAIRS", most)
+        got = {(r.word, r.other): r.n for r in D.counted(table, known).collect()}
+        assert got == {**pairs, **{(w, -1): n for w, n in held.items()}}
+    # The matrix's square by pairs gives the singular vectors of the matrix itself.
+    matrix = np.zeros((200, 12))
+    for i, h in enumerate(D._hashes(texts)):
+        for j, w in enumerate(h.tolist()):
+            if w in number:
+                matrix[5 * i + j // (D.STEP * D.STEPS), number[w]] += 1
+    idf = np.linspace(1, 2, 12)
+    basis = D.latent_space(D.counted(table, known).where("other >= 0"), idf, rank=12)
+    want = matrix * idf
+    np.testing.assert_allclose(want @ basis @ basis.T, want, atol=1e-6)
+    sizes = np.linalg.norm(want @ basis, axis=0)
+    np.testing.assert_allclose(sizes, np.linalg.svd(want)[1][: len(sizes)], rtol=1e-6)

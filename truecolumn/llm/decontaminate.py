@@ -1,11 +1,12 @@
 """Benchmark passages in documents, paraphrases included, by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all documents.
-   Every word keeps a weight: a leak that most documents hold makes its words common.
-2. A randomised singular value decomposition of the TF-IDF matrix (passages of
-   documents and of the benchmark) gives the latent space.  It is fitted on a
-   bounded sample of documents, as a series of distributed products of the matrix
-   with a thin random one, and on every benchmark passage.
+1. Document frequencies of the benchmark's words, and how often two of them share a
+   passage, are counted over all documents in one pass.  Every word keeps a weight:
+   a leak that most documents hold makes its words common.
+2. A randomised singular value decomposition of the TF-IDF matrix (every passage of
+   every document and of the benchmark) gives the latent space, as a series of
+   distributed products of a thin random matrix with the matrix's square, which
+   the counted pairs of words are: its size is bounded by the vocabulary.
 3. Every passage of every document is projected, and its products with all
    benchmark passages are one matrix product per block of text.
 4. Passages that hold ``LEAST_HELD`` of an item's weight, whatever stands beside it,
@@ -34,11 +35,15 @@ BLOCK_ITEMS = 256
 STEP, STEPS = 16, 3
 #: Latent dimensions, and the extra ones that make the random range safe.
 RANK, EXTRA = 256, 16
-#: Documents that the decomposition is fitted on, about; chosen by a hash of their place.
-SAMPLE_DOCUMENTS = 5_000
-#: Weight of benchmark passages in the decomposition: far above what the sample's
+#: All documents together count in the decomposition as much as about so many.
+CORPUS_DOCUMENTS = 5_000
+#: Weight of benchmark passages in the decomposition: far above what the documents'
 #: passages add up to, so that each item's direction is kept.
 ITEM_WEIGHT = 300.0
+#: Vocabulary up to which a task adds up its pairs in one square table.
+DENSE_WORDS = 2_048
+#: Pairs that a task holds otherwise before it passes them on.
+HELD_PAIRS = 2_000_000
 #: Share of an item's squared weight in a passage near it.  No bound on the cosine: words of
 #: a widespread leak weigh little, and rare words beside them would hide it.
 LEAST_HELD = 0.3
@@ -111,30 +116,82 @@ class Vocabulary:
         return known, spot[known]
 
 
-def _frequencies(known: Vocabulary):
+def word_pairs(passage: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(word * size + other, product of their counts)`` with ``word <= other`` for words of one passage.
+
+    ``passage`` does not fall.  A pair comes once for each passage that holds it.
+    """
+    keys, times = np.unique(passage * size + ids, return_counts=True)
+    passage, ids = keys // size, keys % size
+    # Each word with itself and the words behind it in its passage.
+    partners = np.searchsorted(passage, passage, side="right") - np.arange(len(keys))
+    left = np.repeat(np.arange(len(keys)), partners)
+    right = left + np.arange(len(left)) - np.repeat(np.cumsum(partners) - partners, partners)
+    return ids[left] * size + ids[right], times[left] * times[right]
+
+
+def _summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    begins = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[begins], np.add.reduceat(values[order], begins)
+
+
+def _counts(known: Vocabulary):
+    """``(word, other, n)`` of a task's documents: ``n`` documents hold the word if ``other`` is -1, else see :func:`word_pairs`."""
+    size = len(known)
+
+    def rows(codes, n):
+        return pa.RecordBatch.from_arrays([pa.array(codes // size), pa.array(codes % size), pa.array(n)], names=["word", "other", "n"])
+
     def run(batches):
-        counts = np.zeros(len(known), dtype=np.int64)
+        documents = np.zeros(size, dtype=np.int64)
+        table = np.zeros(size * size if size <= DENSE_WORDS else 0, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = words_of(batch["text"], plain=True)
                 at, ids = known.find(words.hashes)
+                if not len(at):
+                    continue
                 text = np.searchsorted(words.at, at, side="right") - 1
-                pairs = np.unique(text * len(known) + ids)
-                counts += np.bincount(pairs % len(known), minlength=len(known))
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["word", "n"])
+                documents += np.bincount(np.unique(text * size + ids) % size, minlength=size)
+                # Passages that do not overlap, from the beginning of each text.
+                lengths = -(-np.diff(words.at) // (STEP * STEPS))
+                first = np.concatenate(([0], np.cumsum(lengths)))
+                codes, n = word_pairs(first[text] + (at - words.at[text]) // (STEP * STEPS), ids, size)
+                if len(table):
+                    np.add.at(table, codes, n)
+                    continue
+                held.append(_summed(codes, n))
+                if sum(len(c) for c, _ in held) > HELD_PAIRS:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > HELD_PAIRS // 2:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+        codes = np.flatnonzero(table)
+        yield rows(codes, table[codes])
+        found = np.flatnonzero(documents)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array(np.full(len(found), -1)), pa.array(documents[found])], names=["word", "other", "n"]
+        )
 
     return run
 
 
-def weights(texts: DataFrame, known: Vocabulary) -> np.ndarray:
+def counted(texts: DataFrame, known: Vocabulary) -> DataFrame:
+    """Sums over all texts of what :func:`_counts` gives, stored."""
+    found = texts.mapInArrow(_counts(known), "word long, other long, n long")
+    return stored(found.groupBy("word", "other").agg(F.sum("n").alias("n")), "word-pairs")
+
+
+def weights(counts: DataFrame, total: int, size: int) -> np.ndarray:
     """Inverse document frequencies over all documents, smoothed: at least 1."""
-    total = texts.count()
-    counts = np.zeros(len(known))
-    found = texts.mapInArrow(_frequencies(known), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    for row in found.collect():
-        counts[row.word] = row.n
-    return np.log((1 + total) / (1 + counts)) + 1
+    documents = np.zeros(size)
+    for row in counts.where("other = -1").collect():
+        documents[row.word] = row.n
+    return np.log((1 + total) / (1 + documents)) + 1
 
 
 class Passages:
@@ -177,43 +234,21 @@ def item_passages(items: list[Item], known: Vocabulary) -> tuple[np.ndarray, lis
     return np.array(owner), rows
 
 
-def _sampled(known: Vocabulary):
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                words = words_of(batch["text"], plain=True)
-                at, ids = known.find(words.hashes)
-                step = Passages(words.at, at).step // STEPS
-                cut = np.flatnonzero(np.diff(step)) + 1
-                rows = [x.tolist() for x in np.split(ids, cut) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["words"])
-
-    return run
-
-
-def _product(idf: np.ndarray, thin: np.ndarray, square: bool):
-    """Partial sums over passages of A'(A thin), or of (A thin)'(A thin)."""
+def _product(idf: np.ndarray, thin: np.ndarray):
+    """Partial sums of A'A thin, from the pairs of words that A'A weighs."""
 
     def run(batches):
-        width = thin.shape[1]
-        out = np.zeros((width if square else len(idf), width))
+        out = np.zeros((len(idf), thin.shape[1]))
         for batch in batches:
-            lists = batch["words"]
-            ids = np.asarray(lists.flatten())
-            if not len(ids):
-                continue
-            sizes = np.diff(np.asarray(lists.offsets))
-            passage = np.repeat(np.arange(len(sizes)), sizes)
-            values = idf[ids] * np.asarray(batch["times"])[passage]
-            begins = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-            images = np.add.reduceat(values[:, None] * thin[ids], begins, axis=0)
-            if square:
-                out += images.T @ images
-                continue
-            spread = values[:, None] * np.repeat(images, np.diff(np.append(begins, len(ids))), axis=0)
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))
-            out[ids[order][first]] += np.add.reduceat(spread[order], first, axis=0)
+            word, other = np.asarray(batch["word"]), np.asarray(batch["other"])
+            values = np.asarray(batch["n"]) * idf[word] * idf[other]
+            apart = word != other
+            for to, by, value in ((word, other, values), (other[apart], word[apart], values[apart])):
+                if not len(to):
+                    continue
+                order = np.argsort(to, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
+                out[to[order][first]] += np.add.reduceat(value[order, None] * thin[by[order]], first, axis=0)
         found = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(found), pa.array([r.tobytes() for r in out[found]], pa.binary())], names=["row", "sums"]
@@ -222,23 +257,24 @@ def _product(idf: np.ndarray, thin: np.ndarray, square: bool):
     return run
 
 
-def _multiplied(matrix: DataFrame, idf: np.ndarray, thin: np.ndarray, square: bool = False) -> np.ndarray:
-    out = np.zeros((thin.shape[1] if square else len(idf), thin.shape[1]))
-    for row in matrix.mapInArrow(_product(idf, thin, square), "row long, sums binary").toLocalIterator():
+def _multiplied(pairs: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(idf), thin.shape[1]))
+    # Stored first: a local iterator alone would run the tasks one after the other.
+    for row in stored(pairs.mapInArrow(_product(idf, thin), "row long, sums binary"), "product").toLocalIterator():
         out[row.row] += np.frombuffer(row.sums)
     return out
 
 
-def latent_space(matrix: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 1) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix ``(words, times)``, a column each.
+def latent_space(pairs: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 1) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix A, a column each, from ``(word, other, n)`` of A'A.
 
     The driver holds thin matrices of the benchmark's vocabulary only.
     """
     wide = min(rank + EXTRA, len(idf))
     thin = np.random.default_rng(11).standard_normal((len(idf), wide))
     for _ in range(rounds + 1):
-        thin, _ = np.linalg.qr(_multiplied(matrix, idf, thin))
-    values, turned = np.linalg.eigh(_multiplied(matrix, idf, thin, square=True))
+        thin, _ = np.linalg.qr(_multiplied(pairs, idf, thin))
+    values, turned = np.linalg.eigh(thin.T @ _multiplied(pairs, idf, thin))
     order = np.argsort(-values)[:rank]
     return thin @ turned[:, order[values[order] > 1e-9]]
 
@@ -307,20 +343,22 @@ class Index:
         return top
 
 
-def build_index(texts: DataFrame, items: list[Item], sample: int = SAMPLE_DOCUMENTS) -> Index:
+def build_index(texts: DataFrame, items: list[Item]) -> Index:
     known = Vocabulary(items)
-    idf = weights(texts, known)
     owner, rows = item_passages(items, known)
-    total = max(1, texts.count())
-    every = max(1, total // sample)
-    # By place, not by text: copies of one text could be a third of all rows.
-    chosen = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
-    picked = chosen.mapInArrow(_sampled(known), "words array<long>").withColumn("times", F.lit(1.0))
+    total = texts.count()
+    counts = counted(texts, known)
+    idf = weights(counts, total, len(known))
+    scale = 1.0 / max(1, total // CORPUS_DOCUMENTS)
+    passage = np.repeat(np.arange(len(rows)), [int(n.sum()) for _, n in rows])
+    codes, n = _summed(*word_pairs(passage, np.concatenate([np.repeat(ids, n) for ids, n in rows]), len(known)))
     own = texts.sparkSession.createDataFrame(
-        [([int(w) for w, n in zip(*r, strict=True) for _ in range(n)], ITEM_WEIGHT) for r in rows], "words array<long>, times double"
+        list(zip((codes // len(known)).tolist(), (codes % len(known)).tolist(), (n * ITEM_WEIGHT**2).tolist(), strict=True)),
+        "word long, other long, n double",
     )
     # A few tasks, since each sends a matrix of the vocabulary's height.
-    matrix = stored(picked.union(own).repartition(6), "passage-words")
+    pairs = counts.where("other >= 0").select("word", "other", (F.col("n") * F.lit(scale)).alias("n")).union(own)
+    matrix = stored(pairs.repartition(6), "weighted-pairs")
     basis = latent_space(matrix, idf)
     image = (idf[:, None] * basis).astype(np.float32)
     queries = np.stack([counts @ image[ids] for ids, counts in rows]).astype(np.float32)
