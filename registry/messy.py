@@ -68,9 +68,13 @@ COLUMNS = {
 MESSY_SQL = "SELECT " + ",\n       ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items()) + "\nFROM orders"
 
 
+#: Orders that one task turns into text and works on.
+ROWS_PER_TASK = 50_000
+
+
 def messy(spark, sf, *names):
     """The messy table, or some of its columns."""
-    orders = spread(I.table(spark, sf, "orders"))
+    orders = spread(I.table(spark, sf, "orders"), ROWS_PER_TASK)
     chosen = names or COLUMNS
     return orders.selectExpr(*[f"{COLUMNS[n]} AS {n}" for n in chosen])
 
@@ -338,7 +342,8 @@ def scalar_predicates(spark, sf):
 
 
 def decimal_shape(spark, sf):
-    shaped = _values(spark, sf).select("column_name", R.decimal_shape(F.col("value")).alias("shape"))
+    texts = _values(spark, sf).select("column_name", R.decimal_text(F.col("value")).alias("text"))
+    shaped = texts.select("column_name", R.decimal_shape_of(F.col("text")).alias("shape"))
     return _counted(shaped.select("column_name", "shape.*"), "int_digits", "scale")
 
 

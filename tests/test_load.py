@@ -11,13 +11,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registry import messy as M
 from truecolumn.errors import ExistingTableError, LoadError, ReadCancelled, SchemaError
+from truecolumn.functions import convert as X
+from truecolumn.functions import text_rules as R
 from truecolumn.operators import blocks as B
 from truecolumn.operators import infer as N
 from truecolumn.operators import load_plan as L
 from truecolumn.operators import validate as V
 from truecolumn.plans.mapping import ColumnMapping
-from truecolumn.session import cancellable, stop
+from truecolumn.session import cancellable, spread, stop
 from truecolumn.sinks import json_export, load_runs
 from truecolumn.sinks import tables as S
 from truecolumn.sources import csv_text as C
@@ -366,3 +369,45 @@ def test_drop_folder(spark, tmp_path):
     good = spark.read.parquet(str(tmp_path / "target" / "accepted")).select("id", "v")
     assert sorted(rows(good)) == [(1, "a"), (2, None)]
     assert spark.read.parquet(str(tmp_path / "target" / "refused")).count() == 1
+
+
+def test_plain_spellings_need_no_kernel(spark):
+    """Plus signs, fractions, outer zeros and long fractions of seconds are settled, or refused, at once."""
+    whole = {"+12": 12, "12.": 12, "12.00": 12, "-0.0": 0, "12.5": None, "-3": -3}
+    cases = [("Int32", {**whole, "2147483648": None}), ("UInt8", {**whole, "-3": None, "256": None}), ("UInt64", {**whole, "-3": None})]
+    cases += [("Decimal(4, 2)", {"+0012.5000": Decimal("12.50"), "-00": Decimal(0), "123": None, "1.234": None, "5.": Decimal(5)})]
+    cases += [("Decimal(2, 2)", {"0.25": Decimal("0.25"), "1.0": None, "00.250": Decimal("0.25")})]
+    second = datetime(2024, 1, 2, 3, 4, 5)
+    cases += [("DateTime", {"2024-01-02T03:04:05.123456789": second, "2024-01-02": datetime(2024, 1, 2), "2023-02-30 03:04:05.1234567": None})]
+    for kind, wanted in cases:
+        mapping = ColumnMapping("a", "a", kind)
+        df = spark.createDataFrame([(c,) for c in wanted], "a string")
+        typed = L.annotate(df, [mapping], keep=["a"]).toDF("text", "value", "errors").collect()
+        assert {r.text: r.value for r in typed} == wanted and all((r.value is None) == bool(r.errors) for r in typed)
+        cells = df.select(F.col("a").alias("_0_cell")).select("_0_cell", X.fast_value("_0", mapping.logical).alias("_0_fast"))
+        assert cells.where(X.open_cells({"_0": mapping.logical}, ["_0"]).isNotNull()).count() == 0
+
+
+def test_refused_cells_are_counted_alike(spark):
+    mappings = [ColumnMapping("a", "n", "Int32"), ColumnMapping("a", "d", "Nullable(Date)"), ColumnMapping("b", "s", "String")]
+    df = spark.createDataFrame([("1", ""), ("", "x"), ("2024-01-02", ""), ("x", None), (None, None)], "a string, b string")
+    listed = [len(r["_errors"]) for r in L.annotate(df, mappings).collect()]
+    assert [r["_errors"] for r in L.annotate(df, mappings, counted=True).collect()] == listed == [1, 1, 1, 2, 1]
+
+
+def test_tasks_grow_with_the_rows(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    for per_task in (10, 1000):
+        parts = spread(table, per_task)
+        assert parts.rdd.getNumPartitions() == max(cores, 1000 // per_task) and parts.count() == 1000
+    assert M.ROWS_PER_TASK <= 50_000
+
+
+def test_decimal_shapes_from_their_text(spark):
+    texts = ["12.50", "-007", "1e3", "1.5e-2", ".5", "0", "1_0", "x", "+3."]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("text", R.decimal_text(F.col("v")))
+    got = df.select("v", R.decimal_shape_of(F.col("text")).alias("s")).collect()
+    want = {"12.50": (2, 2), "-007": (1, 0), "1e3": (4, 0), "1.5e-2": (0, 3), ".5": (0, 1), "0": (0, 0), "1_0": (2, 0), "x": None, "+3.": (1, 0)}
+    assert {r.v: r.s and tuple(r.s) for r in got} == want

@@ -79,18 +79,19 @@ def literal(text: str) -> str:
 
 def _fast_integer(c: str, kind: LogicalType) -> str:
     low, high = _bounds(kind)
-    # Eighteen digits always fit a long, so this cast cannot fail.
-    short, number = rf"{c} RLIKE r'^{'-?' if kind.signed else ''}[0-9]{{1,18}}\z'", f"try_cast({c} AS bigint)"
+    # Eighteen digits always fit a long, so this cast cannot fail; a fraction of zeros is whole.
+    number = f"try_cast(substring_index({c}, '.', 1) AS bigint)"
     if kind.bits < 64:
         number = f"CASE WHEN {number} BETWEEN {low} AND {high} THEN {number} END"
-    return f"CASE WHEN {short} THEN CAST({number} AS {kind.storage.simpleString()}) END"
+    elif not kind.signed:
+        number = f"CASE WHEN {number} >= 0 THEN {number} END"
+    return rf"CASE WHEN {c} RLIKE r'^[+-]?[0-9]{{1,18}}(\.0*)?\z' THEN CAST({number} AS {kind.storage.simpleString()}) END"
 
 
 def _fast_decimal(c: str, kind: LogicalType) -> str:
-    # Plain numbers with few enough digits on either side.
-    whole = max(kind.precision - kind.scale, 1)
-    places = rf"(\.[0-9]{{1,{kind.scale}}})?" if kind.scale else ""
-    return rf"CASE WHEN {c} RLIKE r'^-?[0-9]{{1,{whole}}}{places}\z' THEN try_cast({c} AS {kind.storage.simpleString()}) END"
+    # Plain numbers with few enough digits on either side, outer zeros aside.
+    whole = f"0*[0-9]{{1,{kind.precision - kind.scale}}}" if kind.precision > kind.scale else "0+"
+    return rf"CASE WHEN {c} RLIKE r'^[+-]?{whole}(\.[0-9]{{0,{kind.scale}}}0*)?\z' THEN try_cast({c} AS {kind.storage.simpleString()}) END"
 
 
 def _fast_float(c: str, kind: LogicalType) -> str:
@@ -105,8 +106,11 @@ def _fast_date(c: str, kind: LogicalType) -> str:
 
 
 def _fast_datetime(c: str, kind: LogicalType) -> str:
-    # The first nineteen characters are the date-time without its fraction.
-    return f"CASE WHEN {c} >= '0001' AND {c} RLIKE r'{R.PLAIN_TIMESTAMP_PATTERN}' THEN try_cast(substring({c}, 1, 19) AS timestamp_ntz) END"
+    # The first nineteen characters are the date-time without its fraction; a date alone is its midnight.
+    return (
+        f"CASE WHEN {c} >= '0001' AND {c} RLIKE r'{R.NAIVE_TIMESTAMP_PATTERN}' THEN try_cast(substring({c}, 1, 19) AS timestamp_ntz) "
+        f"WHEN {c} >= '0001' AND length({c}) = 10 AND {c} RLIKE r'{R.DATE_PATTERN}' THEN CAST(try_cast({c} AS date) AS timestamp_ntz) END"
+    )
 
 
 def _bool(c: str, kind: LogicalType) -> str:
@@ -125,11 +129,13 @@ _FAST = {
 def _refused_at_once(c: str, kind: LogicalType) -> str:
     """Cells in the common spelling whose value the type does not have: no kernel would take them."""
     if kind.kind == "integer":
-        return rf"{c} RLIKE r'^{'-?' if kind.signed else ''}[0-9]{{1,18}}\z'"
+        return rf"{c} RLIKE r'^[+-]?[0-9]{{1,18}}(\.[0-9]*)?\z'"
+    if kind.kind == "decimal":
+        return rf"{c} RLIKE r'^[+-]?[0-9]+(\.[0-9]*)?\z'"
     if kind.kind == "date":
         return f"(length({c}) = 10 AND {c} RLIKE r'{R.DATE_PATTERN}')"
     if kind.kind == "datetime":
-        return f"({c} >= '0001' AND {c} RLIKE r'{R.PLAIN_TIMESTAMP_PATTERN}')"
+        return f"({c} >= '0001' AND {c} RLIKE r'{R.NAIVE_TIMESTAMP_PATTERN}')"
     return "false"
 
 

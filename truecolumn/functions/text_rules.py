@@ -54,6 +54,8 @@ PLAIN_NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"
 PLAIN_TIMESTAMP_PATTERN = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,6})?\z"
 )
+#: The same with a fraction of any length.
+NAIVE_TIMESTAMP_PATTERN = PLAIN_TIMESTAMP_PATTERN.replace("{1,6}", "+")
 COMMON_TIMESTAMP_PATTERN = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?"
     r"(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9])?)?\z"
@@ -211,7 +213,11 @@ def decimal_scale(text: Column) -> Column:
 
 def decimal_shape(value: Column) -> Column:
     """``struct(int_digits, scale)`` of a decimal literal, null for other text."""
-    text = decimal_text(value)
+    return decimal_shape_of(decimal_text(value))
+
+
+def decimal_shape_of(text: Column) -> Column:
+    """:func:`decimal_shape` of a :func:`decimal_text`; a column of its own keeps it from being worked out anew in every branch."""
     return F.when(
         text.isNotNull(),
         F.struct(int_digits(text).alias("int_digits"), decimal_scale(text).alias("scale")),

@@ -18,10 +18,11 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ()) -> DataFrame:
+def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = (), counted: bool = False) -> DataFrame:
     """Typed target columns plus ``_errors``, one entry per refused cell.
 
-    Columns in ``keep`` pass through unchanged.
+    Columns in ``keep`` pass through unchanged.  With ``counted`` the last
+    column is the number of refused cells instead, which needs no reasons.
     """
     chosen = check_mappings(mappings)
     check_sources(chosen, df.columns)
@@ -52,6 +53,7 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
     refused = [r for p, kind in kinds.items() if (r := X.is_refused(p, kind))]
     if watched:
         refused.append(f"{BAD_LINE} IS NOT NULL")
+    number = F.expr(" + ".join(f"CAST({r} AS int)" for r in refused) or "0")
     failed = F.expr(" OR ".join(refused) or "false")
     entries = [
         e
@@ -90,7 +92,8 @@ def annotate(df: DataFrame, mappings: list[ColumnMapping], keep: list[str] = ())
             value = F.coalesce(value, F.lit(""))
         metadata = m.logical.field(m.target_name, m.notes).metadata
         values.append(value.alias(m.target_name, metadata=metadata))
-    return typed.select(*[_quoted(k) for k in keep], *values, errors.alias(ERRORS))
+    last = number if counted else errors
+    return typed.select(*[_quoted(k) for k in keep], *values, last.alias(ERRORS))
 
 
 def accepted(annotated: DataFrame) -> DataFrame:

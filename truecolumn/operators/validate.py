@@ -27,10 +27,10 @@ def validate(
         if sample_rows <= 0:
             raise SchemaError("sample_rows must be positive")
         df = df.limit(sample_rows)
-    annotated = L.annotate(df, mappings)
+    annotated = L.annotate(df, mappings, counted=True)
     columns = [c for c in annotated.columns if c != L.ERRORS]
     sized = json_lines(annotated, columns, keep=[L.ERRORS]).select(
-        F.size(L.ERRORS).alias("refused"), F.octet_length("line").alias("bytes")
+        F.col(L.ERRORS).alias("refused"), F.octet_length("line").alias("bytes")
     )
     return sized.agg(
         F.count(F.lit(1)).alias("rows_total"),
