@@ -1,5 +1,6 @@
 """BPE, packing, archives and decontamination: library results, round trips and brute force."""
 
+import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -113,6 +114,19 @@ def test_pages_through_archives(spark):
     assert A.converted_pages(spark, pages.limit(0)).count() == 0
 
 
+def test_archives_are_compressed_fast(spark, tmp_path):
+    rng = random.Random(3)
+    body = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "row", "cell"]) for _ in range(20_000)).encode()
+    rows = spark.createDataFrame([(1, "http://x/", "20240101000000", "text/html", bytearray(body))], "key long, target string, date string, mime string, payload binary")
+    folder = A.write_arc(rows.coalesce(1), str(tmp_path / "arc"), 1)
+    (file,) = [f for f in (tmp_path / "arc").iterdir() if f.suffix == ".gz"]
+    plain = gzip.decompress(file.read_bytes())
+    assert plain.endswith(body + b"\n")
+    small, fast = (len(gzip.compress(plain, level)) for level in (6, 1))
+    assert file.stat().st_size > (small + fast) / 2
+    assert [(r.key, bytes(r.payload)) for r in A.read_arc(spark, folder).collect()] == [(1, body)]
+
+
 def test_both_arc_versions_and_odd_headers():
     for version in (1, 2):
         block = A.http_block(7, b"body\n\nhttp://x 1 2 3 4\n", "text/html")
