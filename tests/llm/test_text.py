@@ -53,6 +53,17 @@ def test_pieces_of_every_length(library):
             assert codec.decode(codec.encode([text, "", text])) == [text.encode(), b"", text.encode()]
 
 
+def test_queries_take_a_row_for_each_new_piece(monkeypatch):
+    """Neither a row for each byte, nor a query over every token of a text to decode it."""
+    codec, taken = Codec(read_ranks(PATH), P.PATTERN), []
+    plain = codec._queried
+    monkeypatch.setattr(codec, "_queried", lambda sql, name, rows: taken.append(rows.num_rows) or plain(sql, name, rows))
+    texts = ["zqxjkvzq wvzxqj zqxjkvzq", "", "\u6f22zq zqxjkvzq zqxjkvzq"]
+    pieces = {p for t in texts for p in codec.split(t) if p.encode() not in codec.rank}
+    assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]
+    assert taken == [len(pieces)]
+
+
 def test_packed_rows_give_the_documents_back(spark, library):
     docs = documents(spark)
     tokens = token_ids(docs, PATH, P.PATTERN)

@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with recursive queries inside each partition.
 
 A text is split by the vocabulary's pattern.  The distinct pieces of a batch
-that a worker has not met go to an in-process DuckDB as token-position rows,
-one byte each.  A recursive query joins neighbours with the merge table and
+that a worker has not met go to an in-process DuckDB as lists of tokens, one
+for each byte.  A recursive query joins neighbours with the merge table and
 contracts, in every piece, the leftmost pair of the smallest rank, until no
-pair is left.  An ordered aggregation over token rows turns ids into bytes
-again.  Pieces and ids never leave the task.
+pair is left.  An ordered aggregation over the tokens' bytes turns ids into
+bytes again.  Pieces and ids never leave the task.
 
 A contraction per round suits words.  A piece of more than ``LONGEST`` bytes
 would need as many rounds as bytes, so a heap takes its pairs in the same order.
@@ -20,6 +20,7 @@ from collections.abc import Iterable
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,27 +36,26 @@ REMEMBERED = 500_000
 BLOCK = 60_000
 TEXT_BYTES = 4 << 20
 
+# A row is a piece.  A round finds the best pair of every piece by a join and an
+# aggregation over its neighbours, so no round sorts the tokens.
 _MERGE = """
-WITH RECURSIVE steps(w, pos, tok, done) AS (
-    SELECT w, pos, tok, false FROM pieces
+WITH RECURSIVE steps(w, ids, done) AS (
+    SELECT w, ids, false FROM pieces
   UNION ALL
-    SELECT w, pos, CASE WHEN pair = best THEN id ELSE tok END, best IS NULL
-    FROM (
-        SELECT *, lag(pair) OVER (PARTITION BY w ORDER BY pos) AS before, min(pair) OVER (PARTITION BY w) AS best
+    SELECT w,
+        CASE WHEN best IS NULL THEN ids
+             ELSE list_concat(list_append(ids[:best % 4096 - 1], (best // 4096)::INTEGER), ids[best % 4096 + 2:]) END,
+        best IS NULL
+    FROM (SELECT w, ids FROM steps WHERE NOT done) LEFT JOIN (
+        SELECT w, min(m.id::BIGINT * 4096 + pos) AS best
         FROM (
-            SELECT s.w, s.pos, s.tok, m.id, m.id::BIGINT * 4096 + s.pos AS pair
-            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT done) s
-            LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
-        )
-    )
-    WHERE best IS NULL OR before IS DISTINCT FROM best
+            SELECT w, generate_subscripts(ids, 1) AS pos, unnest(ids) AS tok, unnest(ids[2:]) AS nxt
+            FROM steps WHERE NOT done
+        ) s JOIN merges m ON m.a = s.tok AND m.b = s.nxt
+        GROUP BY w
+    ) USING (w)
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM steps WHERE done GROUP BY w ORDER BY w
-"""
-
-_DECODE = """
-SELECT doc, string_agg(v.bytes, '' ORDER BY pos) AS text
-FROM tokens JOIN vocabulary v USING (id) GROUP BY doc
+SELECT w, ids FROM steps WHERE done ORDER BY w
 """
 
 
@@ -87,9 +87,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
         self._fill("merges", pa.table({"a": a, "b": b, "id": c}))
-        # A byte travels as the character of its number.
-        texts = [token.decode("latin-1") for token in tokens]
-        self._fill("vocabulary", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "bytes": texts}))
+        self.bytes = pa.array(tokens, pa.binary())
 
     def _fill(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -105,13 +103,11 @@ class Codec:
 
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of short pieces, as little-endian unsigned 32-bit numbers."""
-        lengths = np.array([len(x) for x in pieces])
-        begin = np.cumsum(lengths) - lengths
+        at = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         rows = pa.table({
-            "w": pa.array(np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)),
-            "pos": pa.array((np.arange(len(data)) - np.repeat(begin, lengths)).astype(np.int32)),
-            "tok": pa.array(self.single[data]),
+            "w": pa.array(np.arange(len(pieces), dtype=np.int32)),
+            "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(self.single[data])),
         })
         ids = self._queried(_MERGE, "pieces", rows)["ids"].combine_chunks()
         flat = np.asarray(ids.flatten()).astype("<u4").tobytes()
@@ -168,14 +164,10 @@ class Codec:
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """Bytes of id sequences."""
-        out = [b""] * len(coded)
+        at = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
         ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
-        docs = np.repeat(np.arange(len(coded), dtype=np.int32), [len(x) // 4 for x in coded])
-        rows = pa.table({"doc": pa.array(docs), "pos": pa.array(np.arange(len(ids), dtype=np.int32)), "id": pa.array(ids)})
-        found = self._queried(_DECODE, "tokens", rows)
-        for doc, text in zip(found["doc"].to_pylist(), found["text"].to_pylist(), strict=True):
-            out[doc] = text.encode("latin-1")
-        return out
+        tokens = pa.ListArray.from_arrays(pa.array(at), self.bytes.take(pa.array(ids)))
+        return pc.binary_join(tokens, b"").to_pylist()
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
