@@ -339,3 +339,38 @@ def test_every_passage_shapes_the_latent_space(spark, monkeypatch):
     np.testing.assert_allclose(want @ basis @ basis.T, want, atol=1e-6)
     sizes = np.linalg.norm(want @ basis, axis=0)
     np.testing.assert_allclose(sizes, np.linalg.svd(want)[1][: len(sizes)], rtol=1e-6)
+
+
+def test_only_possible_passages_meet_the_subsequence(monkeypatch):
+    """One word of great weight makes a passage near, but too few words of the item are there to confirm it."""
+    item = " ".join(["rare", *(f"w{i}" for i in range(19))])
+    items = D.read_items([(1, item, None)])
+    known = D.Vocabulary(items)
+    heavy = int(np.searchsorted(known.words, items[0].words[0]))
+    idf = np.ones(len(known))
+    idf[heavy] = 30.0
+    query = (idf**2).astype(np.float32)
+    length = np.sqrt(query.sum())
+    share = ((idf**2)[:, None] / length).astype(np.float32)
+    index = D.Index(items, known, np.array([0]), share, query, np.array([length], np.float32), 1)
+    tried, plain = [], D.common_words
+    monkeypatch.setattr(D, "common_words", lambda *x: tried.append(1) or plain(*x))
+    assert index.search(words_of(pa.array(["rare w1 w2 and much else", None, ""]), plain=True)) == [] and not tried
+    assert [x[:2] for x in index.search(words_of(pa.array(["x", f"so {item} it goes"]), plain=True))] == [(1, 0)] and tried
+
+
+def test_sums_over_passages():
+    rng = np.random.default_rng(2)
+    at = np.array([0, 0, 130, 131, 131, 400])
+    spots = np.sort(rng.choice(400, 150, replace=False))
+    values, rows = rng.integers(0, 9, (7, 3)), rng.integers(0, 7, 150)
+    passages = D.Passages(at, spots)
+    want = np.zeros((passages.total, 3), dtype=int)
+    for p in range(passages.total):
+        text, begin, end = passages.span(p)
+        inside = (spots >= at[text] + begin) & (spots < min(at[text] + end, at[text + 1]))
+        want[p] = values[rows[inside]].sum(axis=0) if begin < at[text + 1] - at[text] else 0
+    steps = [p for p in range(passages.total) if passages.span(p)[1] < at[passages.span(p)[0] + 1] - at[passages.span(p)[0]]]
+    assert (passages.sums(values, rows)[steps] == want[steps]).all()
+    assert (passages.sums(values[rows]) == passages.sums(values, rows)).all()
+    assert D.Passages(np.array([0, 5]), np.zeros(0, int)).sums(np.zeros((0, 3))).sum() == 0

@@ -44,6 +44,8 @@ ITEM_WEIGHT = 300.0
 DENSE_WORDS = 2_048
 #: Pairs that a task holds otherwise before it passes them on.
 HELD_PAIRS = 2_000_000
+#: Cells of the matrix's rows that are multiplied at once.
+BLOCK_CELLS = 2_000_000
 #: Share of an item's squared weight in a passage near it.  No bound on the cosine: words of
 #: a widespread leak weigh little, and rare words beside them would hide it.
 LEAST_HELD = 0.3
@@ -58,6 +60,10 @@ class Item:
     answer: np.ndarray
 
     # Kept with the item, since keys may be null or repeated.
+    @cached_property
+    def word_list(self) -> list[int]:
+        return self.words.tolist()
+
     @cached_property
     def word_places(self) -> dict[int, int]:
         return places(self.words)
@@ -131,7 +137,7 @@ def word_pairs(passage: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def _summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes = codes[order]
     begins = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[begins], np.add.reduceat(values[order], begins)
@@ -207,12 +213,23 @@ class Passages:
         text = np.searchsorted(at, positions, side="right") - 1
         self.step = self.first[text] + (positions - at[text]) // STEP
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sums of the values (a row for each position) over every passage."""
+        # Positions by step: how many there are, and their beginnings, fullest steps first.
+        begins = np.flatnonzero(np.concatenate(([True], self.step[1:] != self.step[:-1]))) if len(positions) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(begins, len(positions)))
+        order = np.argsort(-counts, kind="stable")
+        self.begins, self.counts = begins[order], counts[order]
+
+    def sums(self, values: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Sums over every passage of the values of its positions: a row for each position, or the row that ``rows`` names."""
         out = np.zeros((self.total + STEPS - 1, *values.shape[1:]), dtype=values.dtype)
-        if len(values):
-            begins = np.flatnonzero(np.concatenate(([True], self.step[1:] != self.step[:-1])))
-            out[self.step[begins]] = np.add.reduceat(values, begins, axis=0)
+        if len(self.begins):
+            spot = (lambda at: at) if rows is None else rows.__getitem__
+            held = values[spot(self.begins)]
+            # The second positions of all steps that have one, then the third ones, and so on.
+            for i in range(1, int(self.counts[0])):
+                more = int(np.searchsorted(-self.counts, -i, side="left"))
+                held[:more] += values[spot(self.begins[:more] + i)]
+            out[self.step[self.begins]] = held
         return sum(out[i : self.total + i] for i in range(STEPS))
 
     def span(self, passage: int) -> tuple[int, int, int]:
@@ -234,37 +251,61 @@ def item_passages(items: list[Item], known: Vocabulary) -> tuple[np.ndarray, lis
     return np.array(owner), rows
 
 
+def block_rows(size: int) -> int:
+    """Rows of the square matrix of so many words that are multiplied at once."""
+    return max(1, BLOCK_CELLS // max(1, size))
+
+
 def _product(idf: np.ndarray, thin: np.ndarray):
-    """Partial sums of A'A thin, from the pairs of words that A'A weighs."""
+    """Rows of A'A thin, from the cells ``(word, other, n)`` that A'A weighs; a row may come in parts."""
+    size = len(idf)
+    rows = block_rows(size)
+
+    def multiplied(cells):
+        word, other, n = (np.concatenate(x) for x in zip(*cells, strict=True))
+        order = np.argsort(word)
+        word, other = word[order], other[order]
+        values = n[order] * idf[word] * idf[other]
+        for block in np.unique(word // rows).tolist():
+            begin = block * rows
+            low, high = np.searchsorted(word, [begin, begin + rows])
+            spot = (word[low:high] - begin) * size + other[low:high]
+            dense = np.bincount(spot, weights=values[low:high], minlength=rows * size).reshape(rows, size)
+            found = np.unique(word[low:high])
+            out = dense[found - begin] @ thin
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array([r.tobytes() for r in out], pa.binary())], names=["row", "sums"]
+            )
 
     def run(batches):
-        out = np.zeros((len(idf), thin.shape[1]))
+        held, n = [], 0
         for batch in batches:
-            word, other = np.asarray(batch["word"]), np.asarray(batch["other"])
-            values = np.asarray(batch["n"]) * idf[word] * idf[other]
-            apart = word != other
-            for to, by, value in ((word, other, values), (other[apart], word[apart], values[apart])):
-                if not len(to):
-                    continue
-                order = np.argsort(to, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
-                out[to[order][first]] += np.add.reduceat(value[order, None] * thin[by[order]], first, axis=0)
-        found = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array([r.tobytes() for r in out[found]], pa.binary())], names=["row", "sums"]
-        )
+            held.append(tuple(np.asarray(batch[c]) for c in ("word", "other", "n")))
+            n += batch.num_rows
+            if n >= HELD_PAIRS:
+                yield from multiplied(held)
+                held, n = [], 0
+        if n:
+            yield from multiplied(held)
 
     return run
 
 
-def _multiplied(pairs: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
+def _multiplied(cells: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
     out = np.zeros((len(idf), thin.shape[1]))
     # Stored first: a local iterator alone would run the tasks one after the other.
-    for row in stored(pairs.mapInArrow(_product(idf, thin), "row long, sums binary"), "product").toLocalIterator():
+    for row in stored(cells.mapInArrow(_product(idf, thin), "row long, sums binary"), "product").toLocalIterator():
         out[row.row] += np.frombuffer(row.sums)
     return out
 
 
+def square(pairs: DataFrame, size: int) -> DataFrame:
+    """Both cells of every pair of ``pairs(word, other, n)``, the rows of a block side by side, stored."""
+    both = pairs.union(pairs.where("word <> other").select(F.col("other").alias("word"), F.col("word").alias("other"), "n"))
+    blocks = -(-size // block_rows(size))
+    return stored(both.repartition(max(6, blocks), F.expr(f"word div {block_rows(size)}")).sortWithinPartitions("word"), "weighted-pairs")
+
+
 def latent_space(pairs: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 1) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix A, a column each, from ``(word, other, n)`` of A'A.
 
@@ -272,9 +313,10 @@ def latent_space(pairs: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: in
     """
     wide = min(rank + EXTRA, len(idf))
     thin = np.random.default_rng(11).standard_normal((len(idf), wide))
+    cells = square(pairs, len(idf))
     for _ in range(rounds + 1):
-        thin, _ = np.linalg.qr(_multiplied(pairs, idf, thin))
-    values, turned = np.linalg.eigh(thin.T @ _multiplied(pairs, idf, thin))
+        thin, _ = np.linalg.qr(_multiplied(cells, idf, thin))
+    values, turned = np.linalg.eigh(thin.T @ _multiplied(cells, idf, thin))
     order = np.argsort(-values)[:rank]
     return thin @ turned[:, order[values[order] > 1e-9]]
 
@@ -303,11 +345,11 @@ class Index:
         # Projecting is linear, so a passage's products with the items are sums over
         # its words.  They are taken by the length of the item: what a passage holds
         # besides does not count against it.  The cosine is by the whole passage.
-        norms = np.sqrt(passages.sums(self.square[ids])[enough])
-        products = passages.sums(self.share[ids])[enough]
+        norms = np.sqrt(passages.sums(self.square, ids)[enough])
+        products = passages.sums(self.share, ids)[enough]
         near_passage, near_query = np.nonzero(products >= LEAST_HELD * self.lengths)
         best: dict[tuple[int, int], tuple[float, float, float | None]] = {}
-        lists: dict[tuple[int, int], list[int]] = {}
+        lists: dict[tuple[int, int], tuple[list[int], frozenset[int]]] = {}
         for p, q in zip(near_passage.tolist(), near_query.tolist(), strict=True):
             item = self.items[number := int(self.owner[q])]
             text, begin, end = passages.span(int(enough[p]))
@@ -315,8 +357,12 @@ class Index:
             low, high = int(words.at[text]), int(words.at[text + 1])
             region = (max(low, low + begin - reach), min(high, low + end + reach))
             if region not in lists:
-                lists[region] = words.hashes[region[0] : region[1]].tolist()
-            share = self._tightest(lists[region], item)
+                lists[region] = (part := words.hashes[region[0] : region[1]].tolist(), frozenset(part))
+            stretch, held = lists[region]
+            # No common subsequence is longer than the item's words that are there at all.
+            if sum(map(held.__contains__, item.word_list)) < LEAST_COMMON * len(item.words):
+                continue
+            share = self._tightest(stretch, item)
             if share is None:
                 continue
             found = (float(products[p, q] / norms[p]), *share)
@@ -356,17 +402,14 @@ def build_index(texts: DataFrame, items: list[Item]) -> Index:
         list(zip((codes // len(known)).tolist(), (codes % len(known)).tolist(), (n * ITEM_WEIGHT**2).tolist(), strict=True)),
         "word long, other long, n double",
     )
-    # A few tasks, since each sends a matrix of the vocabulary's height.
     pairs = counts.where("other >= 0").select("word", "other", (F.col("n") * F.lit(scale)).alias("n")).union(own)
-    matrix = stored(pairs.repartition(6), "weighted-pairs")
-    basis = latent_space(matrix, idf)
+    basis = latent_space(pairs, idf)
     image = (idf[:, None] * basis).astype(np.float32)
     queries = np.stack([counts @ image[ids] for ids, counts in rows]).astype(np.float32)
     lengths = np.linalg.norm(queries, axis=1)
     queries /= np.maximum(lengths, 1e-9)[:, None]
     fewest = min(int(counts.sum()) for _, counts in rows)
-    square = (idf**2).astype(np.float32)
-    return Index(items, known, owner, image @ queries.T, square, lengths, max(1, min(3, fewest // 2)))
+    return Index(items, known, owner, image @ queries.T, (idf**2).astype(np.float32), lengths, max(1, min(3, fewest // 2)))
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str, answer: str | None):
