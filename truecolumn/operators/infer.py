@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from truecolumn.errors import SchemaError
 from truecolumn.operators import profile as P
-from truecolumn.plans.decide import decide_types
+from truecolumn.plans.decide import WIDE_DIGITS, decide_types
 from truecolumn.plans.header import normalized_names
 from truecolumn.plans.mapping import ColumnMapping
 
@@ -15,10 +15,20 @@ DEFAULT_SAMPLE_ROWS = 100_000
 
 
 def with_exact_bounds(profiles: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Attach the exact text of integer bounds, for notes on very long numbers."""
-    exact = P.exact_integer_bounds(df, columns)
+    """Attach the exact text of integer bounds, for notes on very long numbers.
+
+    The profile knows the bounds of all whole numbers of up to 38 digits, so only
+    longer ones are compared as text: they lie below or above all others.
+    """
+    exact = P.exact_integer_bounds(df, columns, over_digits=WIDE_DIGITS[0])
+    low, high = F.col("min_integer_text"), F.col("max_integer_text")
     # One row per column on both sides.
-    return profiles.join(exact, "column_name", "left")
+    return profiles.join(exact, "column_name", "left").withColumns(
+        {
+            "min_integer_text": F.when(low.startswith("-"), low).otherwise(F.coalesce(F.col("min_integer").cast("string"), low)),
+            "max_integer_text": F.when(~high.startswith("-"), high).otherwise(F.coalesce(F.col("max_integer").cast("string"), high)),
+        }
+    )
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None, lossless: bool = False) -> DataFrame:

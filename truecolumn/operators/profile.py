@@ -20,12 +20,14 @@ from truecolumn.functions import text_rules as R
 SAMPLES_PER_COLUMN = 5
 
 
-def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, value)`` for every cell; the text is stripped."""
+def cells(df: DataFrame, columns: list[str] | None = None, over_bytes: int = 0) -> DataFrame:
+    """``(column_name, value)`` for every cell, or those of more bytes; the text is stripped."""
     columns = columns or df.columns
     tall = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot(
         [], [F.col(f"`{c}`") for c in columns], "column_name", "value"
     )
+    if over_bytes:
+        tall = tall.where(F.octet_length("value") > over_bytes)
     return tall.select("column_name", R.strip(F.col("value")).alias("value"))
 
 
@@ -260,13 +262,18 @@ def merge_profiles(*profiles: DataFrame) -> DataFrame:
     return stacked.groupBy("column_name").agg(*folds)
 
 
-def exact_integer_bounds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def exact_integer_bounds(df: DataFrame, columns: list[str] | None = None, over_digits: int = 0) -> DataFrame:
     """Smallest and largest whole number of each column as text, any length.
 
     Only columns that outgrew 38 digits need this, so it is a separate pass.
     Whole numbers are ordered by sign, then by digit count, then digit by digit.
+    With ``over_digits`` only numbers of more digits than that are compared.
     """
-    tall = cells(df, columns).where(F.col("value").rlike(R.INTEGER_PATTERN))
+    # A text is at least as long as its digits, which spares the others all the rest.
+    tall = cells(df, columns, over_bytes=over_digits)
+    if over_digits:
+        tall = tall.where(F.length(F.ltrim("value", F.lit("+-0"))) > over_digits)
+    tall = tall.where(F.col("value").rlike(R.INTEGER_PATTERN))
     negative = F.col("value").startswith("-")
     digits = F.ltrim(F.col("value"), F.lit("+-0"))
     shown = F.when(digits == "", "0").when(negative, F.concat(F.lit("-"), digits)).otherwise(digits)
