@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import documents, empty, words
 
+from truecolumn.llm.common import stored
 from truecolumn.llm.components import components
 from truecolumn.llm.near_dup import near_duplicates, odd_sketch, ones_allowed, samples
 from truecolumn.llm.secret_scan import KINDS, base_spans, candidates, redact_documents, scan, secret_digests
@@ -257,3 +258,41 @@ def test_ones_of_set_sketches_bound_the_difference():
         differ = len(np.setxor1d(one, two))
         assert ones <= differ and (ones - differ) % 2 == 0 and not words[2].any()
         assert ones >= 0.9 * differ or n == 3000
+
+
+def test_unwanted_texts_are_filtered_before_the_shuffle(spark, monkeypatch):
+    from truecolumn.llm import near_dup as N
+
+    plans, write = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    monkeypatch.setattr(N, "slices", lambda batch, column: [batch])
+    texts = [f"{' '.join(f'w{i}_{j}' for j in range(30))}" for i in range(40)]
+    docs = stored(spark.createDataFrame([*enumerate(texts), (90, texts[3] + " more")], "doc_id long, text string"), "docs")
+    was = {key: spark.conf.get(key) for key in ("spark.sql.autoBroadcastJoinThreshold", *N.TEXT_FILTER)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(docs, size=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was["spark.sql.autoBroadcastJoinThreshold"])
+    assert got == {**{i: i for i in range(40)}, 90: 3}
+    assert "might_contain" in plans["sets"]
+    assert was == {key: spark.conf.get(key) for key in was}
+
+
+def test_components_go_on_from_known_ones(spark, monkeypatch):
+    from truecolumn.llm import components as C
+
+    steps, write = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: (steps.append(name), write(df, name))[1])
+    table = lambda links: spark.createDataFrame(links, "u long, v long")
+    read = lambda found: {(r.node, r.component) for r in found.collect()}
+    first = [(2, 1), (2, 3), (11, 10), (21, 20)]
+    known = components(table(first))
+    del steps[:]
+    assert read(components(table([(3, 1), (11, 10), (None, 5), (7, 7)]), known)) == read(known)
+    assert len(steps) == 1
+    more = [(3, 21), (0, 20), (31, 30), (32, 11)]
+    assert read(components(table(more), known)) == read(components(table(first + more)))
+    empty = components(table([]))
+    assert read(empty) == set()
+    assert read(components(table(first), empty)) == read(known)
